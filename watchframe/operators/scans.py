@@ -42,6 +42,7 @@ class Wanted:
     next: value on the key's next row
     first: value on the key's first row
     fills: last non-null value on any earlier row
+    totals: sum over all rows of the key
     tails: name -> (column, k), sum over the last k rows including this one
     """
 
@@ -50,6 +51,7 @@ class Wanted:
     next: Mapping[str, Column] = field(default_factory=dict)
     first: Mapping[str, Column] = field(default_factory=dict)
     fills: Mapping[str, Column] = field(default_factory=dict)
+    totals: Mapping[str, Column] = field(default_factory=dict)
     tails: Mapping[str, tuple[Column, int]] = field(default_factory=dict)
 
 
@@ -94,6 +96,14 @@ def running_index(df: DataFrame, name: str) -> DataFrame:
     return split_scan(df, [], want)
 
 
+def global_scan(df: DataFrame, want: Wanted, order: Sequence[str]) -> DataFrame:
+    """Scan a whole table in `order`: one window if it fits a block, else range partitions."""
+    df = materialize(df, "ordered")
+    if df.count() <= setting(df, "blockRows", BLOCK_ROWS):
+        return plain_scan(df, [], want, order)
+    return split_scan(df, [], want, order)
+
+
 # ---- plain road ---------------------------------------------------------------------------------
 
 
@@ -106,6 +116,7 @@ def plain_scan(df: DataFrame, keys: Sequence[str], want: Wanted, order: Sequence
     new |= {n: F.lead(c).over(win) for n, c in want.next.items()}
     new |= {n: F.first(c).over(run) for n, c in want.first.items()}
     new |= {n: F.last(c, ignorenulls=True).over(past) for n, c in want.fills.items()}
+    new |= {n: F.sum(F.coalesce(c, F.lit(0))).over(Window.partitionBy(*keys)) for n, c in want.totals.items()}
     new |= {f"_run_{n}": F.sum(c).over(run) for n, (c, _) in want.tails.items()}
     out = df.withColumns(new) if new else df
     if want.tails:
@@ -160,6 +171,7 @@ def _carry(df: DataFrame, keys: Sequence[str], want: Wanted, order: Sequence[str
     inside |= {f"_i_{n}": F.last(c, ignorenulls=True).over(past) for n, c in want.fills.items()}
     inside |= {f"_i_{n}": F.sum(c).over(run) for n, (c, _) in want.tails.items()}
     ends = {f"_e_{n}": F.sum(F.coalesce(c, F.lit(0))) for n, c in want.sums.items()}
+    ends |= {f"_e_{n}": F.sum(F.coalesce(c, F.lit(0))) for n, c in want.totals.items()}
     ends |= {f"_e_{n}": F.max_by(c, F.when(c.isNotNull(), at)) for n, c in want.fills.items()}
     if want.prev:
         inside["_i_prev"] = F.lag(prev).over(win)
@@ -183,6 +195,7 @@ def _carry(df: DataFrame, keys: Sequence[str], want: Wanted, order: Sequence[str
     blocks = Window.partitionBy(*keys).orderBy("_block")
     earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
     carry = {f"_c_{n}": F.sum(f"_e_{n}").over(earlier) for n in want.sums}
+    carry |= {f"_c_{n}": F.sum(f"_e_{n}").over(Window.partitionBy(*keys)) for n in want.totals}
     carry |= {f"_c_{n}": F.last(f"_e_{n}", ignorenulls=True).over(earlier) for n in want.fills}
     if want.prev:
         carry["_c_prev"] = F.lag("_e_prev").over(blocks)
@@ -197,6 +210,7 @@ def _carry(df: DataFrame, keys: Sequence[str], want: Wanted, order: Sequence[str
 
     joined = rows.join(handed, by_block, "left")
     out = {n: F.col(f"_i_{n}") + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in want.sums}
+    out |= {n: F.col(f"_c_{n}") for n in want.totals}
     out |= {n: F.coalesce(F.col(f"_i_{n}"), F.col(f"_c_{n}")) for n in want.fills}
     out |= {n: F.coalesce(F.col("_i_prev"), F.col("_c_prev")).getField(n) for n in want.prev}
     out |= {n: F.coalesce(F.col("_i_next"), F.col("_c_next")).getField(n) for n in want.next}

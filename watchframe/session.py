@@ -47,7 +47,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/watchframe/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", partition: str | None = None) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
     Used where a result feeds several jobs or must not be computed twice. It stays columnar, so later
@@ -55,7 +55,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=partition)
     return spark.read.schema(df.schema).parquet(path)
 
 
