@@ -51,7 +51,12 @@ def hour_angle(us: Column) -> Column:
 
 def iso_utc(ts: Column) -> Column:
     """ISO-8601 text with a trailing Z."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return utc_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def utc_format(ts: Column, pattern: str) -> Column:
+    """Text of a timestamp in UTC."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), pattern)
 
 
 def device_key(os: Column, mac: Column) -> Column:

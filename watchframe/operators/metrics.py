@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchframe.functions.scalars import utc_format
 from watchframe.operators.scans import Wanted, global_scan
 from watchframe.schema import LABELS, int_to_label
 
@@ -203,8 +204,8 @@ def dataset_stats(df: DataFrame) -> DataFrame:
         of_type("user").alias("users"),
         of_type("edge_device").alias("edge_devices"),
         of_type("service_account").alias("service_accounts"),
-        F.date_format(F.min("lo"), "yyyy-MM-dd").alias("first_day"),
-        F.date_format(F.max("hi"), "yyyy-MM-dd").alias("last_day"),
+        utc_format(F.min("lo"), "yyyy-MM-dd").alias("first_day"),
+        utc_format(F.max("hi"), "yyyy-MM-dd").alias("last_day"),
         (F.sum("attacks") * 100.0 / n).alias("attack_pct"),
         ((n - F.sum("attacks")) * 100.0 / n).alias("normal_pct"),
     )

@@ -167,9 +167,11 @@ def hits(t: Thresholds) -> Column:
 
 def flags_of(hit_list: Column) -> dict[str, Column]:
     """One-hot rule flags from a hit array."""
-    return {
-        f"rule_{rule}": _flag(F.exists(hit_list, lambda h, r=rule: h["rule"] == r)) for rule in RULES
-    }
+
+    def fired(rule: str) -> Column:
+        return F.exists(hit_list, lambda h: h["rule"] == rule)
+
+    return {f"rule_{rule}": _flag(fired(rule)) for rule in RULES}
 
 
 def entity_rule_steps(df: DataFrame, road: Road, t: Thresholds) -> DataFrame:

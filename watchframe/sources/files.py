@@ -9,6 +9,10 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 from watchframe.schema import COMMANDS, FLAT_EVENT, LABEL, NESTED_EVENT, PROFILE
 
 
+# text form of timestamps in files; they carry no zone and mean UTC, the session time zone
+TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
 def _as_text_lists(schema: StructType) -> StructType:
     """CSV form of a schema: lists are text."""
     fields = [f if not isinstance(f.dataType, ArrayType) else type(f)(f.name, StringType(), True) for f in schema]
@@ -34,7 +38,7 @@ def read_events(spark: SparkSession, path: str, format: str = "csv") -> DataFram
     if format == "csv":
         df = _read_csv(spark, path, FLAT_EVENT)
     elif format == "json":
-        df = spark.read.schema(FLAT_EVENT).json(path)
+        df = spark.read.schema(FLAT_EVENT).option("timestampFormat", TIME_FORMAT).json(path)
     else:
         df = spark.read.format(format).load(path)
     return with_commands(df)
@@ -42,7 +46,8 @@ def read_events(spark: SparkSession, path: str, format: str = "csv") -> DataFram
 
 def read_nested_events(spark: SparkSession, path: str, format: str = "json") -> DataFrame:
     """Flat events from the nested form."""
-    return flatten_events(spark.read.schema(NESTED_EVENT).format(format).load(path))
+    nested = spark.read.schema(NESTED_EVENT).option("timestampFormat", TIME_FORMAT).format(format).load(path)
+    return flatten_events(nested)
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -116,7 +121,8 @@ def write_dataset(events: DataFrame, path: str, profiles: DataFrame | None = Non
         if format == "csv":
             lists = [f.name for f in df.schema if isinstance(f.dataType, ArrayType)]
             quoted = {c: F.format_string("[%s]", F.array_join(F.transform(c, lambda v: F.concat(F.lit("'"), v, F.lit("'"))), ", ")) for c in lists}
-            df.withColumns(quoted).write.option("header", True).option("escape", '"').csv(f"{path}/{name}")
+            writer = df.withColumns(quoted).write.option("header", True).option("escape", '"')
+            writer.option("timestampFormat", TIME_FORMAT).csv(f"{path}/{name}")
         else:
             df.write.format(format).save(f"{path}/{name}")
 
