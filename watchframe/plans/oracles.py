@@ -38,7 +38,7 @@ log AS (SELECT *, concat(os, '|', mac) AS device, extract(hour FROM ts) + extrac
 
 def _km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     a = (
-        f"least(1.0, pow(sin(radians(({lat2}) - ({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2}))"
+        f"(pow(sin(radians(({lat2}) - ({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2}))"
         f" * pow(sin(radians(({lon2}) - ({lon1})) / 2), 2))"
     )
     return f"(6371 * 2 * atan2(sqrt({a}), sqrt(1 - {a})))"

@@ -11,6 +11,7 @@ from watchframe.schema import COMMANDS, FLAT_EVENT, LABEL, NESTED_EVENT, PROFILE
 
 # text form of timestamps in files; they carry no zone and mean UTC, the session time zone
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+READ_FORMAT = "yyyy-MM-dd['T'][' ']HH:mm:ss[.SSSSSS][.SSS][XXX]"
 
 
 def _as_text_lists(schema: StructType) -> StructType:
@@ -38,7 +39,7 @@ def read_events(spark: SparkSession, path: str, format: str = "csv") -> DataFram
     if format == "csv":
         df = _read_csv(spark, path, FLAT_EVENT)
     elif format == "json":
-        df = spark.read.schema(FLAT_EVENT).option("timestampFormat", TIME_FORMAT).json(path)
+        df = spark.read.schema(FLAT_EVENT).option("timestampFormat", READ_FORMAT).json(path)
     else:
         df = spark.read.format(format).load(path)
     return with_commands(df)
@@ -46,7 +47,7 @@ def read_events(spark: SparkSession, path: str, format: str = "csv") -> DataFram
 
 def read_nested_events(spark: SparkSession, path: str, format: str = "json") -> DataFrame:
     """Flat events from the nested form."""
-    nested = spark.read.schema(NESTED_EVENT).option("timestampFormat", TIME_FORMAT).format(format).load(path)
+    nested = spark.read.schema(NESTED_EVENT).option("timestampFormat", READ_FORMAT).format(format).load(path)
     return flatten_events(nested)
 
 
