@@ -21,15 +21,15 @@ def fail(at, **more):
 
 def test_brute_force_bounds_are_inclusive_and_a_success_can_carry_the_hit(make_log):
     rows = [fail(at) for at in (0, 100, 200, 300, 400, 500, 590, 600)] + [{"at": 600.5}]
-    df = rules.with_brute_force(prepared(make_log(rows)))
+    df = rules.with_entity_rules(prepared(make_log(rows)))
     assert by_event(df, "recent_failures") == [1, 2, 3, 4, 5, 6, 7, 8, 7]
     rows = [fail(at) for at in (1, 100, 200, 300, 400, 500, 590, 600)] + [{"at": 601}]
-    df = rules.with_brute_force(prepared(make_log(rows)))
+    df = rules.with_entity_rules(prepared(make_log(rows)))
     assert by_event(df, "rule_brute_force") == [0, 0, 0, 0, 0, 0, 0, 1, 1]
 
 
 def test_brute_force_ties_fire_only_on_the_last_row(make_log):
-    df = rules.with_brute_force(prepared(make_log([fail(0) for _ in range(8)])))
+    df = rules.with_entity_rules(prepared(make_log([fail(0) for _ in range(8)])))
     assert by_event(df, "rule_brute_force") == [0] * 7 + [1]
 
 
@@ -44,27 +44,27 @@ def test_travel_needs_time_and_is_strict(make_log):
         {"entity_id": "fast", "at": 0, "geo_lat": 0.0},
         {"entity_id": "fast", "at": exact - 0.01, "geo_lat": 1.0},
     ]
-    df = rules.with_impossible_travel(prepared(make_log(rows)))
+    df = rules.with_entity_rules(prepared(make_log(rows)))
     assert by_event(df, "rule_impossible_travel") == [0, 0, 0, 0, 0, 1]
 
 
 @pytest.mark.parametrize("failures, fires", [(11, 1), (10, 0)])
 def test_stuffing_rate(make_log, failures, fires):
     rows = [{"entity_id": f"e{i}", "at": i * 60, "auth_success": i >= failures} for i in range(15)]
-    df = rules.with_credential_stuffing(prepared(make_log(rows)))
+    df = rules.with_address_rules(prepared(make_log(rows)))
     assert by_event(df, "ip_targets")[-1] == 15
     assert by_event(df, "rule_credential_stuffing") == [0] * 14 + [fires]
 
 
 def test_stuffing_counts_each_entity_once_and_forgets_it(make_log):
     rows = [{"entity_id": who, "at": at} for who, at in [("a", 0), ("b", 0), ("a", 500), ("c", 900), ("a", 1400), ("b", 1401)]]
-    df = rules.with_credential_stuffing(prepared(make_log(rows)))
+    df = rules.with_address_rules(prepared(make_log(rows)))
     assert by_event(df, "ip_events", "ip_targets") == [(1, 1), (2, 2), (3, 2), (4, 3), (3, 2), (3, 3)]
 
 
 def test_spoofing_follows_the_last_device(make_log):
     rows = [{"device_mac": m, "at": i} for i, m in enumerate("ABA")]
-    df = rules.with_device_spoofing(prepared(make_log(rows)))
+    df = rules.with_entity_rules(prepared(make_log(rows)))
     assert by_event(df, "rule_device_spoofing") == [0, 1, 1]
 
 

@@ -81,7 +81,7 @@ def test_slides(spark, rows, split_road, span):
     }
     flag = F.col("flag").cast("long")
     for road in (PLAIN, SPLIT):
-        got = road.slide(rows, ["k"], span, {"s": (flag, flag)}).select("event_id", "s").collect()
+        got = road.slide(rows, ["k"], {"s": (span, flag, flag), "all": (5000, flag, flag)}).select("event_id", "s").collect()
         assert dict(map(tuple, got)) == expected
 
 

@@ -8,8 +8,8 @@ parameters) and sent to the tasks, which handle alert rows in Arrow batches.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 from math import factorial
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,8 +22,7 @@ from watchframe.schema import mitre_of, severity
 from watchframe.session import scratch_path
 
 
-@dataclass(frozen=True)
-class Leaf:
+class Leaf(NamedTuple):
     """A leaf as a box: for each feature on its path the interval (low, high] and the share of rows kept."""
 
     value: float
@@ -94,14 +93,14 @@ def gate_leaves(model: FusionModel, spark) -> list[Leaf]:
 def with_contributions(alerts: DataFrame, model: FusionModel) -> DataFrame:
     """Add `shap_values`: array<struct<feature, value>> in column order."""
     spark = alerts.sparkSession
-    leaves = spark.sparkContext.broadcast(gate_leaves(model, spark))
+    leaves = spark.sparkContext.broadcast([tuple(leaf) for leaf in gate_leaves(model, spark)])
     width = len(model.columns)
 
     @F.pandas_udf("array<double>")
     def explain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             x = np.stack(batch.to_numpy()) if len(batch) else np.zeros((0, width))
-            yield pd.Series(list(_contributions(leaves.value, x)))
+            yield pd.Series(list(_contributions([Leaf(*leaf) for leaf in leaves.value], x)))
 
     names = F.array(*[F.lit(c) for c in model.columns])
     pair = F.zip_with(names, explain(matrix(model.columns)), lambda f, v: F.struct(f.alias("feature"), v.alias("value")))

@@ -13,7 +13,8 @@ from watchframe.functions import haversine_km, hour_of_day, shannon_bits
 from watchframe.functions import weekday as weekday_of
 from watchframe.functions.scalars import DAY_US, hour_angle
 from watchframe.operators.log import prepared
-from watchframe.operators.scans import Road, Wanted, per_key, running_index
+from watchframe.operators.rules import previous_event
+from watchframe.operators.scans import Spec, Wanted, per_key, running_index
 from watchframe.schema import FEATURES
 
 SECOND = 1_000_000
@@ -60,71 +61,61 @@ def raw_values(parse_commands: bool) -> dict[str, Column]:
 # ---- keyed by entity -----------------------------------------------------------------------------
 
 
-def activity_steps(df: DataFrame, road: Road, windowed_frequency: bool = False) -> DataFrame:
+def entity_spec(windowed_frequency: bool = False) -> Spec:
+    """All look-backs of the entity features, on one partitioning."""
+    first = {c: (F.col(f"_uses_{c}") == 1).cast("long") for c in ("resource_accessed", "device_mac")}
+    seven_days = first["resource_accessed"]
+    moves = {"_novel_7d": (EXPANSION_SPAN, seven_days, seven_days)}
+    if windowed_frequency:
+        one = F.lit(1).cast("long")
+        moves["_in_hour"] = (HOUR_SPAN, one, one)
+    return Spec(
+        pairs={
+            ("entity_id", c): Wanted(sums={f"_uses_{c}": F.lit(1)}) for c in ("resource_accessed", "device_mac", "device")
+        },
+        want=previous_event()
+        | Wanted(
+            first={"_lat0": F.col("geo_lat"), "_lon0": F.col("geo_lon")},
+            sums={"_rank": F.lit(1), "_used": first["resource_accessed"], "_macs": first["device_mac"]},
+            tails={"_recent_fails": (F.col("failed").cast("long"), AUTH_EVENTS)},
+        ),
+        moves=moves,
+    )
+
+
+def activity(windowed_frequency: bool = False) -> dict[str, Column]:
     """Gap, frequency and failure rate.
 
     `session_frequency_1h` counts all earlier events of the entity; with `windowed_frequency` it counts
     those of the last hour.
     """
-    df = road.scan(
-        df,
-        ["entity_id"],
-        Wanted(
-            prev={"_prev_us": F.col("ts_us")},
-            sums={"entity_rank": F.lit(1)},
-            tails={"_recent_fails": (F.col("failed").cast("long"), AUTH_EVENTS)},
-        ),
-    )
-    seen = F.least(F.col("entity_rank"), F.lit(AUTH_EVENTS))
-    if windowed_frequency:
-        one = F.lit(1).cast("long")
-        df = road.slide(df, ["entity_id"], HOUR_SPAN, {"_in_hour": (one, one)})
-        frequency = F.col("_in_hour") - 1
-    else:
-        frequency = F.col("entity_rank") - 1
-    return df.withColumns(
-        {
-            "time_since_last": F.coalesce((F.col("ts_us") - F.col("_prev_us")) / SECOND, F.lit(0.0)),
-            "session_frequency_1h": frequency.cast("double"),
-            "auth_failure_rate": F.col("_recent_fails") / seen,
-        }
-    ).drop("_prev_us", "_recent_fails", "_in_hour")
+    frequency = F.col("_in_hour") - 1 if windowed_frequency else F.col("_rank") - 1
+    return {
+        "time_since_last": F.coalesce((F.col("ts_us") - F.col("prev_us")) / SECOND, F.lit(0.0)),
+        "session_frequency_1h": frequency.cast("double"),
+        "auth_failure_rate": F.col("_recent_fails") / F.least(F.col("_rank"), F.lit(AUTH_EVENTS)),
+    }
 
 
-def novelty_steps(df: DataFrame, road: Road) -> DataFrame:
-    """First use of a resource by the entity; how many it has used."""
-    df = road.scan(df, ["entity_id", "resource_accessed"], Wanted(sums={"_use": F.lit(1)}))
-    df = df.withColumn("_novel", (F.col("_use") == 1).cast("long"))
-    df = road.scan(df, ["entity_id"], Wanted(sums={"_used": F.col("_novel")}))
+def expansion() -> dict[str, Column]:
+    """First use of a resource by the entity, how many it has used, and how many are new in seven days."""
     used = F.col("_used")
-    return df.withColumns(
-        {
-            "resource_novelty": F.col("_novel").cast("double"),
-            "resource_diversity": used.cast("double"),
-            "privilege_expansion_rate": F.when(used > 1, 1.0 / used).otherwise(0.0),
-        }
-    ).drop("_use", "_used")
-
-
-def expansion_steps(df: DataFrame, road: Road) -> DataFrame:
-    """Resources first used within the last seven days; needs `novelty_steps`."""
-    df = road.slide(df, ["entity_id"], EXPANSION_SPAN, {"_new_7d": (F.col("_novel"), F.col("_novel"))})
-    return df.withColumn("privilege_expansion_velocity", F.col("_new_7d").cast("double")).drop("_new_7d")
+    return {
+        "resource_novelty": _flag(F.col("_uses_resource_accessed") == 1),
+        "resource_diversity": used.cast("double"),
+        "privilege_expansion_rate": F.when(used > 1, 1.0 / used).otherwise(0.0),
+        "privilege_expansion_velocity": F.col("_novel_7d").cast("double"),
+    }
 
 
-def place_steps(df: DataFrame, road: Road) -> DataFrame:
+def place(df: DataFrame) -> DataFrame:
     """Speed since the previous event and distance from the first one."""
-    lat, lon, at = F.col("geo_lat"), F.col("geo_lon"), F.col("ts_us")
-    df = road.scan(
-        df,
-        ["entity_id"],
-        Wanted(prev={"_lat": lat, "_lon": lon, "_at": at}, first={"_lat0": lat, "_lon0": lon}),
-    )
-    hours = F.greatest((at - F.col("_at")) / HOUR_SPAN, F.lit(0.001))
-    speed = F.coalesce(haversine_km(F.col("_lat"), F.col("_lon"), lat, lon) / hours, F.lit(0.0))
+    lat, lon = F.col("geo_lat"), F.col("geo_lon")
+    hours = F.greatest((F.col("ts_us") - F.col("prev_us")) / (HOUR_SPAN * 1.0), F.lit(0.001))
+    moved = haversine_km(F.col("prev_lat"), F.col("prev_lon"), lat, lon)
     df = df.withColumns(
         {
-            "geo_velocity_kmh": speed,
+            "geo_velocity_kmh": F.coalesce(moved / hours, F.lit(0.0)),
             "geo_distance_from_primary": haversine_km(F.col("_lat0"), F.col("_lon0"), lat, lon),
         }
     )
@@ -135,50 +126,54 @@ def place_steps(df: DataFrame, road: Road) -> DataFrame:
         + 0.3 * F.col("impossible_travel_flag")
         + 0.4 * F.least(away / 10000, F.lit(1.0))
     )
-    return df.withColumn("geo_anomaly_score", score).drop("_lat", "_lon", "_at", "_lat0", "_lon0")
+    return df.withColumn("geo_anomaly_score", score)
 
 
-def device_steps(df: DataFrame, road: Road) -> DataFrame:
+def device() -> dict[str, Column]:
     """Distinct MACs so far; a device never seen on an entity that has a history."""
-    df = road.scan(df, ["entity_id", "device_mac"], Wanted(sums={"_mac_use": F.lit(1)}))
-    df = road.scan(df, ["entity_id", "device"], Wanted(sums={"_device_use": F.lit(1)}))
-    first_mac = (F.col("_mac_use") == 1).cast("long")
-    df = road.scan(df, ["entity_id"], Wanted(sums={"_macs": first_mac, "_rank": F.lit(1)}))
-    new = _flag((F.col("_device_use") == 1) & (F.col("_rank") > 1))
-    return df.withColumns(
-        {"device_stability_index": F.col("_macs").cast("double"), "new_device_flag": new, "fingerprint_mismatch": new}
-    ).drop("_mac_use", "_device_use", "_macs", "_rank")
+    new = _flag((F.col("_uses_device") == 1) & (F.col("_rank") > 1))
+    return {"device_stability_index": F.col("_macs").cast("double"), "new_device_flag": new, "fingerprint_mismatch": new}
+
 
+def entity_features(df: DataFrame, windowed_frequency: bool = False) -> DataFrame:
+    """Features from the look-backs of `entity_spec`, which are dropped, but for the previous event."""
+    df = place(df.withColumns({**activity(windowed_frequency), **expansion(), **device()}))
+    spec = entity_spec(windowed_frequency)
+    helpers = [c for want in spec.pairs.values() for c in want.sums]
+    return df.drop(*helpers, *spec.want.sums, *spec.want.first, *spec.want.tails, *spec.moves)
 
-def entity_steps(df: DataFrame, road: Road, windowed_frequency: bool = False) -> DataFrame:
-    """All entity-keyed features on one partitioning."""
-    df = activity_steps(df, road, windowed_frequency)
-    df = expansion_steps(novelty_steps(df, road), road).drop("_novel")
-    return device_steps(place_steps(df, road), road)
+
+def with_entity_features(df: DataFrame, windowed_frequency: bool = False) -> DataFrame:
+    """All entity-keyed features. What a query does not select is pruned away, windows included."""
+    steps = entity_spec(windowed_frequency).steps("entity_id")
+    return entity_features(per_key(df, "entity_id", steps), windowed_frequency)
 
 
 # ---- keyed by address and resource ---------------------------------------------------------------
 
 
-def address_steps(df: DataFrame, road: Road) -> DataFrame:
-    """Distinct entities seen on the address, and its number of events, so far."""
-    df = road.scan(df, ["source_ip", "entity_id"], Wanted(sums={"_pair_use": F.lit(1)}))
-    first_pair = (F.col("_pair_use") == 1).cast("long")
-    df = road.scan(df, ["source_ip"], Wanted(sums={"_entities": first_pair, "_ip_seen": F.lit(1)}))
-    return df.withColumn("unique_entities_per_ip", F.col("_entities").cast("double")).drop("_pair_use", "_entities")
+def address_spec() -> Spec:
+    """Distinct entities on the address, and its events, so far."""
+    first = (F.col("_visits") == 1).cast("long")
+    return Spec(
+        pairs={("source_ip", "entity_id"): Wanted(sums={"_visits": F.lit(1)})},
+        want=Wanted(sums={"_entities": first, "_ip_seen": F.lit(1)}),
+    )
 
 
-def resource_steps(df: DataFrame, road: Road) -> DataFrame:
-    return road.scan(df, ["resource_accessed"], Wanted(sums={"_resource_seen": F.lit(1)}))
+def address_features(df: DataFrame) -> DataFrame:
+    """Keeps `_ip_seen` for `with_frequencies`."""
+    return df.withColumn("unique_entities_per_ip", F.col("_entities").cast("double")).drop("_visits", "_entities")
 
 
-def address_count_steps(df: DataFrame, road: Road) -> DataFrame:
-    return road.scan(df, ["source_ip"], Wanted(sums={"_ip_seen": F.lit(1)}))
+def with_address_features(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    return address_features(per_key(df, "source_ip", address_spec().steps("source_ip"), source))
 
 
-def with_frequencies(df: DataFrame) -> DataFrame:
+def with_frequencies(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Share of the resource and of the address among all events so far; needs `_ip_seen`."""
-    df = running_index(per_key(df, "resource_accessed", resource_steps), "_seen")
+    seen = Spec(want=Wanted(sums={"_resource_seen": F.lit(1)})).steps("resource_accessed")
+    df = running_index(per_key(df, "resource_accessed", seen, source), "_seen", source)
     return df.withColumns(
         {
             "resource_freq_encoding": F.col("_resource_seen") / F.col("_seen"),
@@ -190,13 +185,18 @@ def with_frequencies(df: DataFrame) -> DataFrame:
 # ---- everything but the baseline -----------------------------------------------------------------
 
 
-def with_behaviour(
-    df: DataFrame, parse_commands: bool = False, windowed_frequency: bool = False
-) -> DataFrame:
-    """Every feature that needs no baseline, on a prepared log."""
-    df = df.withColumns({**temporal(), **raw_values(parse_commands), **constants()})
-    df = per_key(df, "entity_id", lambda d, road: entity_steps(d, road, windowed_frequency))
-    return with_frequencies(per_key(df, "source_ip", address_steps))
+def row_features(parse_commands: bool = False) -> dict[str, Column]:
+    """Features that need no other row."""
+    return {**temporal(), **raw_values(parse_commands), **constants()}
+
+
+def with_behaviour(df: DataFrame, parse_commands: bool = False, windowed_frequency: bool = False) -> DataFrame:
+    """Every feature that needs no baseline, on a prepared log.
+
+    Row-local columns come last, so that shuffles and sorts carry as little as possible.
+    """
+    out = with_address_features(with_entity_features(df, windowed_frequency), df)
+    return with_frequencies(out, df).withColumns(row_features(parse_commands))
 
 
 def compute_features(log: DataFrame, alpha: float = 0.05, min_events: int = 20, **options: bool) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from watchframe.functions import haversine_km
 from watchframe.functions.scalars import MINUTE_US
 from watchframe.operators.log import prepared
-from watchframe.operators.scans import Road, Wanted, per_key
+from watchframe.operators.scans import Spec, Wanted, per_key
 from watchframe.schema import RULE_FLAGS, RULES
 
 TAGS = {
@@ -38,27 +38,27 @@ class Thresholds:
 # ---- entity rules: one hash partitioning by entity serves all three ------------------------------
 
 
-def brute_force_steps(df: DataFrame, road: Road, t: Thresholds) -> DataFrame:
-    """Failures of the entity in the last minutes. A successful event can carry the hit."""
+def previous_event() -> Wanted:
+    """Time, place and device of the entity's previous event."""
+    return Wanted(
+        prev={
+            "prev_us": F.col("ts_us"),
+            "prev_lat": F.col("geo_lat"),
+            "prev_lon": F.col("geo_lon"),
+            "prev_device": F.col("device"),
+        }
+    )
+
+
+def entity_spec(t: Thresholds) -> Spec:
+    """What the entity rules look back at: the previous event, and failures of the last minutes."""
     failed = F.col("failed").cast("long")
-    df = road.slide(df, ["entity_id"], t.brute_force_minutes * MINUTE_US, {"recent_failures": (failed, failed)})
-    return df.withColumn("rule_brute_force", _flag(F.col("recent_failures") >= t.brute_force_failures))
+    return Spec(want=previous_event(), moves={"recent_failures": (t.brute_force_minutes * MINUTE_US, failed, failed)})
 
 
-def previous_event_steps(df: DataFrame, road: Road) -> DataFrame:
-    """Time, place and device of the entity's previous event."""
-    return road.scan(
-        df,
-        ["entity_id"],
-        Wanted(
-            prev={
-                "prev_us": F.col("ts_us"),
-                "prev_lat": F.col("geo_lat"),
-                "prev_lon": F.col("geo_lon"),
-                "prev_device": F.col("device"),
-            }
-        ),
-    )
+def brute_force(df: DataFrame, t: Thresholds) -> DataFrame:
+    """Too many recent failures. A successful event can carry the hit."""
+    return df.withColumn("rule_brute_force", _flag(F.col("recent_failures") >= t.brute_force_failures))
 
 
 def travel(df: DataFrame, t: Thresholds) -> DataFrame:
@@ -80,7 +80,7 @@ def spoofing(df: DataFrame) -> DataFrame:
 # ---- address rule --------------------------------------------------------------------------------
 
 
-def stuffing_steps(df: DataFrame, road: Road, t: Thresholds) -> DataFrame:
+def address_spec(t: Thresholds) -> Spec:
     """Events, failures and distinct entities on the address in the last minutes.
 
     Distinct entities come without collecting sets: the visits of one entity to the address fall into
@@ -88,23 +88,21 @@ def stuffing_steps(df: DataFrame, road: Road, t: Thresholds) -> DataFrame:
     until the span after its last, so the count is chains begun minus chains that ran out.
     """
     span = t.stuffing_minutes * MINUTE_US
-    pair = ["source_ip", "entity_id"]
     at = F.col("ts_us")
-    df = road.scan(df, pair, Wanted(prev={"_last_visit": at}, next={"_next_visit": at}))
+    visits = Wanted(prev={"_last_visit": at}, next={"_next_visit": at})
     one, failed = F.lit(1).cast("long"), F.col("failed").cast("long")
     begins = F.coalesce(at - F.col("_last_visit") > span, F.lit(True)).cast("long")
     ends = F.coalesce(F.col("_next_visit") - at > span, F.lit(True)).cast("long")
-    df = road.slide(
-        df,
-        ["source_ip"],
-        span,
-        {"ip_events": (one, one), "ip_failures": (failed, failed), "ip_targets": (begins, ends)},
-    )
-    rate = F.col("ip_failures") / F.col("ip_events")
+    moves = {"ip_events": (span, one, one), "ip_failures": (span, failed, failed), "ip_targets": (span, begins, ends)}
+    return Spec(pairs={("source_ip", "entity_id"): visits}, moves=moves)
+
+
+def stuffing(df: DataFrame, t: Thresholds) -> DataFrame:
+    """Many entities tried from one address, mostly failing."""
+    df = df.withColumn("ip_fail_rate", F.col("ip_failures") / F.col("ip_events"))
     enough = (F.col("ip_events") >= t.stuffing_targets) & (F.col("ip_targets") >= t.stuffing_targets)
-    df = df.withColumn("ip_fail_rate", rate)
-    df = df.withColumn("rule_credential_stuffing", _flag(enough & (rate >= t.stuffing_fail_rate)))
-    return df.drop("_last_visit", "_next_visit")
+    fires = enough & (F.col("ip_fail_rate") >= t.stuffing_fail_rate)
+    return df.withColumn("rule_credential_stuffing", _flag(fires)).drop("_last_visit", "_next_visit")
 
 
 # ---- assembly ------------------------------------------------------------------------------------
@@ -174,40 +172,24 @@ def flags_of(hit_list: Column) -> dict[str, Column]:
     return {f"rule_{rule}": _flag(fired(rule)) for rule in RULES}
 
 
-def entity_rule_steps(df: DataFrame, road: Road, t: Thresholds) -> DataFrame:
-    return spoofing(travel(previous_event_steps(brute_force_steps(df, road, t), road), t))
-
-
-def with_brute_force(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    return per_key(df, "entity_id", lambda d, road: brute_force_steps(d, road, t))
+def entity_rules(df: DataFrame, t: Thresholds) -> DataFrame:
+    return spoofing(travel(brute_force(df, t), t))
 
 
-def with_impossible_travel(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    return travel(per_key(df, "entity_id", previous_event_steps), t)
+def with_entity_rules(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """Brute force, impossible travel and device spoofing. What a query does not select is pruned away."""
+    return entity_rules(per_key(df, "entity_id", entity_spec(t).steps("entity_id")), t)
 
 
-def with_device_spoofing(df: DataFrame) -> DataFrame:
-    return spoofing(per_key(df, "entity_id", previous_event_steps))
-
-
-def with_credential_stuffing(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    return per_key(df, "source_ip", lambda d, road: stuffing_steps(d, road, t))
+def with_address_rules(df: DataFrame, t: Thresholds = Thresholds(), source: DataFrame | None = None) -> DataFrame:
+    """Credential stuffing."""
+    return stuffing(per_key(df, "source_ip", address_spec(t).steps("source_ip"), source), t)
 
 
 def with_rules(log: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """All rule numbers, flags and the `rule_hits` array for every event of a log."""
-    df = per_key(prepared(log), "entity_id", lambda d, road: entity_rule_steps(d, road, t))
-    return with_credential_stuffing(df, t).withColumn("rule_hits", hits(t))
-
-
-__all__ = [
-    "RULE_FLAGS",
-    "Thresholds",
-    "flags_of",
-    "hits",
-    "with_brute_force",
-    "with_credential_stuffing",
-    "with_device_spoofing",
-    "with_impossible_travel",
-    "with_rules",
-]
+    df = prepared(log)
+    return with_address_rules(with_entity_rules(df, t), t, df).withColumn("rule_hits", hits(t))
+
+
+__all__ = ["RULE_FLAGS", "Thresholds", "flags_of", "hits", "with_address_rules", "with_entity_rules", "with_rules"]

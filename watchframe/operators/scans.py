@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,6 +54,36 @@ class Wanted:
     totals: Mapping[str, Column] = field(default_factory=dict)
     tails: Mapping[str, tuple[Column, int]] = field(default_factory=dict)
 
+    def __or__(self, other: Wanted) -> Wanted:
+        return Wanted(**{f.name: {**getattr(self, f.name), **getattr(other, f.name)} for f in fields(self)})
+
+
+@dataclass(frozen=True)
+class Spec:
+    """Everything to compute on one partitioning by a key, so that operators can share it.
+
+    pairs: scans keyed by (key, another column); their results may be used in the two below
+    want: the scan keyed by the key
+    moves: name -> (span_us, gain, loss), see `plain_slide`
+    """
+
+    pairs: Mapping[tuple[str, ...], Wanted] = field(default_factory=dict)
+    want: Wanted = field(default_factory=Wanted)
+    moves: Mapping[str, tuple[int, Column, Column]] = field(default_factory=dict)
+
+    def __or__(self, other: Spec) -> Spec:
+        pairs = {k: self.pairs.get(k, Wanted()) | other.pairs.get(k, Wanted()) for k in {**self.pairs, **other.pairs}}
+        return Spec(pairs, self.want | other.want, {**self.moves, **other.moves})
+
+    def steps(self, key: str) -> Callable[[DataFrame, Road], DataFrame]:
+        def run(df: DataFrame, road: Road) -> DataFrame:
+            for keys, want in self.pairs.items():
+                df = road.scan(df, keys, want)
+            df = road.scan(df, [key], self.want)
+            return road.slide(df, [key], self.moves) if self.moves else df
+
+        return run
+
 
 class Road(NamedTuple):
     """The two scan functions a set of steps is written against."""
@@ -72,27 +102,30 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     return None if hot.isEmpty() else hot
 
 
-def per_key(df: DataFrame, key: str, steps: Callable[[DataFrame, Road], DataFrame]) -> DataFrame:
+def per_key(
+    df: DataFrame, key: str, steps: Callable[[DataFrame, Road], DataFrame], source: DataFrame | None = None
+) -> DataFrame:
     """Run `steps` on all rows: hot keys on the split road, the others on plain windows.
 
-    The plain road is hash-partitioned by `key` once; windows keyed by (key, anything) reuse that.
+    The plain road is hash-partitioned by `key` once; windows keyed by (key, anything) reuse that. Keys
+    are counted on `source` when given: a table with the same keys that is cheaper to read than `df`.
     """
-    hot = hot_keys(df, [key])
+    hot = hot_keys(df if source is None else source, [key])
     if hot is None:
         return steps(df.repartition(key), PLAIN)
     cold = steps(df.join(hot, key, "left_anti").repartition(key), PLAIN)
     return cold.unionByName(steps(df.join(hot, key, "left_semi"), SPLIT))
 
 
-def running_index(df: DataFrame, name: str) -> DataFrame:
+def running_index(df: DataFrame, name: str, source: DataFrame | None = None) -> DataFrame:
     """1-based position of each row in the whole log.
 
     Hours are the blocks. If an hour is hot itself, range partitions are.
     """
-    hours = df.withColumn("_block", F.col("ts_us") - F.pmod("ts_us", F.lit(3_600_000_000)))
+    hour = F.col("ts_us") - F.pmod("ts_us", F.lit(3_600_000_000))
     want = Wanted(sums={name: F.lit(1)})
-    if hot_keys(hours, ["_block"]) is None:
-        return _carry(hours, [], want, ORDER)
+    if hot_keys((df if source is None else source).withColumn("_block", hour), ["_block"]) is None:
+        return _carry(df.withColumn("_block", hour), [], want, ORDER)
     return split_scan(df, [], want)
 
 
@@ -117,30 +150,25 @@ def plain_scan(df: DataFrame, keys: Sequence[str], want: Wanted, order: Sequence
     new |= {n: F.first(c).over(run) for n, c in want.first.items()}
     new |= {n: F.last(c, ignorenulls=True).over(past) for n, c in want.fills.items()}
     new |= {n: F.sum(F.coalesce(c, F.lit(0))).over(Window.partitionBy(*keys)) for n, c in want.totals.items()}
-    new |= {f"_run_{n}": F.sum(c).over(run) for n, (c, _) in want.tails.items()}
-    out = df.withColumns(new) if new else df
-    if want.tails:
-        lagged = {
-            n: F.col(f"_run_{n}") - F.coalesce(F.lag(f"_run_{n}", k).over(win), F.lit(0))
-            for n, (_, k) in want.tails.items()
-        }
-        out = out.withColumns(lagged).drop(*[f"_run_{n}" for n in want.tails])
-    return out
+    for n, (c, k) in want.tails.items():
+        older = win.rowsBetween(Window.unboundedPreceding, -k)
+        new[n] = F.sum(c).over(run) - F.coalesce(F.sum(c).over(older), F.lit(0))
+    return df.withColumns(new) if new else df
 
 
-def plain_slide(
-    df: DataFrame, keys: Sequence[str], span_us: int, moves: Mapping[str, tuple[Column, Column]]
-) -> DataFrame:
-    """name -> (gain, loss): sum of gain on rows up to this one, minus loss on rows older than `span_us`.
+def plain_slide(df: DataFrame, keys: Sequence[str], moves: Mapping[str, tuple[int, Column, Column]]) -> DataFrame:
+    """name -> (span_us, gain, loss): sum of gain on rows up to this one, minus loss on rows older than the span.
 
     With gain == loss this is the sum over the last `span_us`, both ends included, seen in row order.
+    The order by time alone needs no second sort, as rows already lie in (time, event) order.
     """
     run = Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    gone = Window.partitionBy(*keys).orderBy("ts_us").rangeBetween(Window.unboundedPreceding, -span_us - 1)
-    gains = {f"_gain_{n}": F.sum(gain).over(run) for n, (gain, _) in moves.items()}
-    losses = {
-        n: F.col(f"_gain_{n}") - F.coalesce(F.sum(loss).over(gone), F.lit(0)) for n, (_, loss) in moves.items()
-    }
+    by_time = Window.partitionBy(*keys).orderBy("ts_us")
+    gains = {f"_gain_{n}": F.sum(gain).over(run) for n, (_, gain, _) in moves.items()}
+    losses = {}
+    for n, (span, _, loss) in moves.items():
+        gone = F.sum(loss).over(by_time.rangeBetween(Window.unboundedPreceding, -span - 1))
+        losses[n] = F.col(f"_gain_{n}") - F.coalesce(gone, F.lit(0))
     return df.withColumns(gains).withColumns(losses).drop(*gains)
 
 
@@ -233,10 +261,14 @@ def _tail(df: DataFrame, by_block: Sequence[str], order: Sequence[str], name: st
     return last.groupBy(*by_block).agg(F.transform(pairs, lambda p: p["_v"]).alias(f"_e_{name}"))
 
 
-def split_slide(
-    df: DataFrame, keys: Sequence[str], span_us: int, moves: Mapping[str, tuple[Column, Column]]
-) -> DataFrame:
-    """`plain_slide` as one running sum over arrivals and, `span_us` later, departures."""
+def split_slide(df: DataFrame, keys: Sequence[str], moves: Mapping[str, tuple[int, Column, Column]]) -> DataFrame:
+    """`plain_slide` as running sums over arrivals and, a span later, departures; one pass per span."""
+    for span in sorted({span for span, _, _ in moves.values()}):
+        df = _sweep(df, keys, span, {n: (gain, loss) for n, (s, gain, loss) in moves.items() if s == span})
+    return df
+
+
+def _sweep(df: DataFrame, keys: Sequence[str], span_us: int, moves: Mapping[str, tuple[Column, Column]]) -> DataFrame:
     arrive = df.withColumns({f"_m_{n}": gain.cast("long") for n, (gain, _) in moves.items()})
     arrive = arrive.withColumn("_leaving", F.lit(0))
     losses = {f"_m_{n}": -loss.cast("long") for n, (_, loss) in moves.items()}

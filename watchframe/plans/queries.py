@@ -26,7 +26,6 @@ from watchframe.operators import (
     serving,
 )
 from watchframe.operators.log import prepared
-from watchframe.operators.scans import per_key
 from watchframe.plans import detect
 from watchframe.schema import (
     COMMANDS,
@@ -96,26 +95,26 @@ def _fired(rule: str) -> Column:
 
 @query
 def rule_brute_force(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = rules.with_brute_force(_prepared(spark, sf_dir), THRESHOLDS)
+    df = rules.with_entity_rules(_prepared(spark, sf_dir), THRESHOLDS)
     return df.select("event_id", "recent_failures", _fired("brute_force"))
 
 
 @query
 def rule_impossible_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = rules.with_impossible_travel(_prepared(spark, sf_dir), THRESHOLDS)
+    df = rules.with_entity_rules(_prepared(spark, sf_dir), THRESHOLDS)
     speed = F.round(F.coalesce("travel_kmh", F.lit(-1.0)), 3).alias("travel_kmh")
     return df.select("event_id", speed, _fired("impossible_travel"))
 
 
 @query
 def rule_credential_stuffing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = rules.with_credential_stuffing(_prepared(spark, sf_dir), THRESHOLDS)
+    df = rules.with_address_rules(_prepared(spark, sf_dir), THRESHOLDS)
     return df.select("event_id", "ip_events", "ip_failures", "ip_targets", _fired("credential_stuffing"))
 
 
 @query
 def rule_device_spoofing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = rules.with_device_spoofing(_prepared(spark, sf_dir))
+    df = rules.with_entity_rules(_prepared(spark, sf_dir))
     return df.select("event_id", F.coalesce("prev_device", F.lit("")).alias("prev_device"), _fired("device_spoofing"))
 
 
@@ -153,41 +152,37 @@ def feat_raw_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def feat_gap_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = per_key(_prepared(spark, sf_dir), "entity_id", features.activity_steps)
+    df = features.with_entity_features(_prepared(spark, sf_dir))
     return df.select("event_id", _r("time_since_last", 6), "session_frequency_1h")
 
 
 @query
 def feat_windowed_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = per_key(_prepared(spark, sf_dir), "entity_id", lambda d, road: features.activity_steps(d, road, True))
+    df = features.with_entity_features(_prepared(spark, sf_dir), windowed_frequency=True)
     return df.select("event_id", "session_frequency_1h")
 
 
 @query
 def feat_auth_failure_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = per_key(_prepared(spark, sf_dir), "entity_id", features.activity_steps)
+    df = features.with_entity_features(_prepared(spark, sf_dir))
     return df.select("event_id", _r("auth_failure_rate", 8))
 
 
 @query
 def feat_resource_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = per_key(_prepared(spark, sf_dir), "entity_id", features.novelty_steps)
+    df = features.with_entity_features(_prepared(spark, sf_dir))
     return df.select("event_id", "resource_novelty", "resource_diversity")
 
 
 @query
 def feat_privilege_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = per_key(
-        _prepared(spark, sf_dir),
-        "entity_id",
-        lambda d, road: features.expansion_steps(features.novelty_steps(d, road), road),
-    )
+    df = features.with_entity_features(_prepared(spark, sf_dir))
     return df.select("event_id", _r("privilege_expansion_rate", 8), "privilege_expansion_velocity")
 
 
 @query
 def feat_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = per_key(_prepared(spark, sf_dir), "entity_id", features.place_steps)
+    df = features.with_entity_features(_prepared(spark, sf_dir))
     return df.select(
         "event_id", _r("geo_velocity_kmh", 3), "impossible_travel_flag", _r("geo_distance_from_primary", 3), _r("geo_anomaly_score", 6)
     )
@@ -195,20 +190,20 @@ def feat_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def feat_device(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = per_key(_prepared(spark, sf_dir), "entity_id", features.device_steps)
+    df = features.with_entity_features(_prepared(spark, sf_dir))
     return df.select("event_id", "device_stability_index", "new_device_flag", "fingerprint_mismatch")
 
 
 @query
 def feat_ip_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = per_key(_prepared(spark, sf_dir), "source_ip", features.address_steps)
+    df = features.with_address_features(_prepared(spark, sf_dir))
     return df.select("event_id", "unique_entities_per_ip")
 
 
 @query
 def feat_freq_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = per_key(_prepared(spark, sf_dir), "source_ip", features.address_count_steps)
-    df = features.with_frequencies(df)
+    log = _prepared(spark, sf_dir)
+    df = features.with_frequencies(features.with_address_features(log), log)
     return df.select("event_id", _r("resource_freq_encoding", 10), _r("ip_freq_encoding", 10))
 
 
@@ -455,13 +450,9 @@ def markov_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns baselines need, on one partitioning by entity."""
-
-    def steps(d: DataFrame, road) -> DataFrame:
-        return features.place_steps(features.novelty_steps(features.activity_steps(d, road), road), road)
-
-    df = _prepared(spark, sf_dir).withColumns(features.raw_values(False))
+    df = features.with_entity_features(_prepared(spark, sf_dir)).withColumns(features.raw_values(False))
     kept = ["event_id", "entity_id", "entity_type", "ts_us", "session_duration_raw", "bytes_transferred_raw"]
-    return per_key(df, "entity_id", steps).select(*kept, "auth_failure_rate", "resource_diversity", "geo_velocity_kmh")
+    return df.select(*kept, "auth_failure_rate", "resource_diversity", "geo_velocity_kmh")
 
 
 _ZSCORES = [f"{m}_zscore" for m in baseline.MEASURES]
@@ -637,7 +628,7 @@ def source_nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _outlier_columns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     names = ["session_duration", "bytes_transferred", "geo_lat", "recent_failures", "travel_kmh"]
-    df = rules.with_impossible_travel(rules.with_brute_force(_prepared(spark, sf_dir), THRESHOLDS), THRESHOLDS)
+    df = rules.with_entity_rules(_prepared(spark, sf_dir), THRESHOLDS)
     return df.select("event_id", "label_int", *names), names
 
 

@@ -104,7 +104,7 @@ class BaselineSink:
         after.save(f"{self.path}/state/batch={batch}")
 
     def scored(self, spark) -> DataFrame:
-        return spark.read.option("basePath", f"{self.path}/scored").parquet(f"{self.path}/scored").drop("_v", "_p", "_c")
+        return baseline.tidy(spark.read.option("basePath", f"{self.path}/scored").parquet(f"{self.path}/scored"))
 
 
 def start_baseline(stream: DataFrame, path: str, options: baseline.Options = baseline.Options(), **trigger: Any) -> StreamingQuery:
