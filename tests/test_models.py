@@ -47,7 +47,7 @@ def cloud(spark):
     """Two correlated columns, a third with many ties, and three far points at the end."""
     rng = random.Random(4)
     rows = [(i, rng.gauss(0, 1), rng.gauss(5, 2), float(rng.random() < 0.2)) for i in range(400)]
-    rows += [(400, 9.0, 5.0, 0.0), (401, 0.0, 30.0, 0.0), (402, -9.0, -20.0, 1.0)]
+    rows += [(400, 9.0, 25.0, 0.0), (401, -8.0, 30.0, 0.0), (402, -9.0, -20.0, 1.0)]
     return spark.createDataFrame(rows, "event_id int, a double, b double, c double")
 
 
@@ -83,7 +83,8 @@ def test_outlier_model(spark, cloud, tmp_path):
     df = outliers.with_outliers(cloud, model)
     raw = outliers._raw_scores(cloud, model.nodes, model.facts)
     isolation = dict(zip(range(403), by_event(raw, "iforest")))
-    assert set(sorted(isolation, key=isolation.get)[-3:]) == {400, 401, 402}
+    ranks = sorted(isolation, key=isolation.get)
+    assert {400, 401, 402} == set(ranks[-3:])
     flags = by_event(df, "tabular_flag")
     assert flags[400:] == [1, 1, 1] and 8 <= sum(flags) <= 20
     exact = exact_ecod(cloud.orderBy("event_id").collect())

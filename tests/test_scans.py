@@ -104,7 +104,7 @@ def test_hot_keys_take_the_split_road(spark, rows):
     assert hot_keys(rows, ["k"]) is None
 
 
-@pytest.mark.parametrize("limit", ["4000000", "0"])
+@pytest.mark.parametrize("limit", ["4000000", "119", "30", "0"])
 def test_running_index(spark, rows, limit):
     spark.conf.set("watchframe.hotRows", limit)
     try:
@@ -133,3 +133,19 @@ def test_partition_count_does_not_matter(spark, rows):
         assert result(per_key(shuffled, "k", lambda d, road: road.scan(d, ["k"], want()))) == before
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_block_width_is_the_longest_that_fits(spark):
+    from watchframe.operators import scans
+
+    # 40 rows in an hour, 20 of them in one minute, 6 of those in one second
+    at = [*range(0, 40_000_000, 2_857_143), *[1_000_000 + i for i in range(6)], *[60_000_000 * (i + 2) for i in range(20)]]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(at)], "ts_us bigint, event_id int")
+    widths = {}
+    for limit in ("39", "25", "10", "3"):
+        spark.conf.set("watchframe.hotRows", limit)
+        widths[limit] = scans._block_width(df)
+        got = dict(map(tuple, running_index(df, "i").select("event_id", "i").collect()))
+        spark.conf.unset("watchframe.hotRows")
+        assert got == {e: i for i, (_, e) in enumerate(sorted((t, e) for e, t in enumerate(at)), 1)}
+    assert widths == {"39": scans.MINUTE_US, "25": scans.MINUTE_US, "10": scans.SECOND_US, "3": None}

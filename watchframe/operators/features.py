@@ -13,8 +13,8 @@ from watchframe.functions import haversine_km, hour_of_day, shannon_bits
 from watchframe.functions import weekday as weekday_of
 from watchframe.functions.scalars import DAY_US, hour_angle
 from watchframe.operators.log import prepared
-from watchframe.operators.rules import previous_event
-from watchframe.operators.scans import Spec, Wanted, per_key, running_index
+from watchframe.operators.rules import ADDRESS_INPUTS, ENTITY_INPUTS, previous_event
+from watchframe.operators.scans import Spec, Wanted, running_index
 from watchframe.schema import FEATURES
 
 SECOND = 1_000_000
@@ -80,6 +80,7 @@ def entity_spec(windowed_frequency: bool = False) -> Spec:
             tails={"_recent_fails": (F.col("failed").cast("long"), AUTH_EVENTS)},
         ),
         moves=moves,
+        inputs=ENTITY_INPUTS | {"resource_accessed", "device_mac"},
     )
 
 
@@ -145,8 +146,7 @@ def entity_features(df: DataFrame, windowed_frequency: bool = False) -> DataFram
 
 def with_entity_features(df: DataFrame, windowed_frequency: bool = False) -> DataFrame:
     """All entity-keyed features. What a query does not select is pruned away, windows included."""
-    steps = entity_spec(windowed_frequency).steps("entity_id")
-    return entity_features(per_key(df, "entity_id", steps), windowed_frequency)
+    return entity_features(entity_spec(windowed_frequency).over(df, "entity_id"), windowed_frequency)
 
 
 # ---- keyed by address and resource ---------------------------------------------------------------
@@ -158,6 +158,7 @@ def address_spec() -> Spec:
     return Spec(
         pairs={("source_ip", "entity_id"): Wanted(sums={"_visits": F.lit(1)})},
         want=Wanted(sums={"_entities": first, "_ip_seen": F.lit(1)}),
+        inputs=ADDRESS_INPUTS,
     )
 
 
@@ -167,13 +168,13 @@ def address_features(df: DataFrame) -> DataFrame:
 
 
 def with_address_features(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
-    return address_features(per_key(df, "source_ip", address_spec().steps("source_ip"), source))
+    return address_features(address_spec().over(df, "source_ip", source))
 
 
 def with_frequencies(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Share of the resource and of the address among all events so far; needs `_ip_seen`."""
-    seen = Spec(want=Wanted(sums={"_resource_seen": F.lit(1)})).steps("resource_accessed")
-    df = running_index(per_key(df, "resource_accessed", seen, source), "_seen", source)
+    seen = Spec(want=Wanted(sums={"_resource_seen": F.lit(1)}), inputs=frozenset({"ts_us"}))
+    df = running_index(seen.over(df, "resource_accessed", source), "_seen", source)
     return df.withColumns(
         {
             "resource_freq_encoding": F.col("_resource_seen") / F.col("_seen"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from watchframe.functions import epoch_us
 from watchframe.functions.scalars import DAY_US, whole_hour
-from watchframe.operators.scans import Road, Wanted, per_key
+from watchframe.operators.scans import Spec, Wanted
 
 POINTS = 30
 VECTOR = ["working_hours", "data_volume", "places", "resources", "auth_failures", "activity"]
@@ -65,12 +65,9 @@ def _summary(log: DataFrame) -> DataFrame:
 
 def binned_volume(log: DataFrame) -> DataFrame:
     """(entity_id, n, bin, volume): mean bytes in up to 30 consecutive bins of equal event count."""
-
-    def steps(d: DataFrame, road: Road) -> DataFrame:
-        return road.scan(d, ["entity_id"], Wanted(sums={"r": F.lit(1)}, totals={"n": F.lit(1)}))
-
+    rank = Spec(want=Wanted(sums={"r": F.lit(1)}, totals={"n": F.lit(1)}))
     slim = log.select("entity_id", "event_id", epoch_us(F.col("timestamp")).alias("ts_us"), "bytes_transferred")
-    ranked = per_key(slim, "entity_id", steps)
+    ranked = rank.over(slim, "entity_id")
     edge = F.ceil((F.col("r") - 1) * POINTS / F.greatest(F.col("n") - 1, F.lit(1)))
     ranked = ranked.withColumn("bin", F.greatest(edge - 1, F.lit(0)).cast("int"))
     return ranked.groupBy("entity_id", "n", "bin").agg(F.avg("bytes_transferred").alias("volume"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from watchframe.functions import haversine_km
 from watchframe.functions.scalars import MINUTE_US
 from watchframe.operators.log import prepared
-from watchframe.operators.scans import Spec, Wanted, per_key
+from watchframe.operators.scans import Spec, Wanted
 from watchframe.schema import RULE_FLAGS, RULES
 
 TAGS = {
@@ -25,6 +25,10 @@ TAGS = {
 }
 
 
+ENTITY_INPUTS = frozenset({"ts_us", "geo_lat", "geo_lon", "device", "failed"})
+ADDRESS_INPUTS = frozenset({"ts_us", "entity_id", "failed"})
+
+
 @dataclass(frozen=True)
 class Thresholds:
     brute_force_minutes: int = 10
@@ -53,7 +57,7 @@ def previous_event() -> Wanted:
 def entity_spec(t: Thresholds) -> Spec:
     """What the entity rules look back at: the previous event, and failures of the last minutes."""
     failed = F.col("failed").cast("long")
-    return Spec(want=previous_event(), moves={"recent_failures": (t.brute_force_minutes * MINUTE_US, failed, failed)})
+    return Spec(want=previous_event(), moves={"recent_failures": (t.brute_force_minutes * MINUTE_US, failed, failed)}, inputs=ENTITY_INPUTS)
 
 
 def brute_force(df: DataFrame, t: Thresholds) -> DataFrame:
@@ -94,7 +98,7 @@ def address_spec(t: Thresholds) -> Spec:
     begins = F.coalesce(at - F.col("_last_visit") > span, F.lit(True)).cast("long")
     ends = F.coalesce(F.col("_next_visit") - at > span, F.lit(True)).cast("long")
     moves = {"ip_events": (span, one, one), "ip_failures": (span, failed, failed), "ip_targets": (span, begins, ends)}
-    return Spec(pairs={("source_ip", "entity_id"): visits}, moves=moves)
+    return Spec(pairs={("source_ip", "entity_id"): visits}, moves=moves, inputs=ADDRESS_INPUTS)
 
 
 def stuffing(df: DataFrame, t: Thresholds) -> DataFrame:
@@ -178,12 +182,12 @@ def entity_rules(df: DataFrame, t: Thresholds) -> DataFrame:
 
 def with_entity_rules(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Brute force, impossible travel and device spoofing. What a query does not select is pruned away."""
-    return entity_rules(per_key(df, "entity_id", entity_spec(t).steps("entity_id")), t)
+    return entity_rules(entity_spec(t).over(df, "entity_id"), t)
 
 
 def with_address_rules(df: DataFrame, t: Thresholds = Thresholds(), source: DataFrame | None = None) -> DataFrame:
     """Credential stuffing."""
-    return stuffing(per_key(df, "source_ip", address_spec(t).steps("source_ip"), source), t)
+    return stuffing(address_spec(t).over(df, "source_ip", source), t)
 
 
 def with_rules(log: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:

@@ -26,6 +26,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from watchframe.functions.scalars import HOUR_US, MINUTE_US, SECOND_US
 from watchframe.session import materialize, setting
 
 ORDER = ("ts_us", "event_id")
@@ -65,15 +66,18 @@ class Spec:
     pairs: scans keyed by (key, another column); their results may be used in the two below
     want: the scan keyed by the key
     moves: name -> (span_us, gain, loss), see `plain_slide`
+    inputs: columns the above read besides the key and event_id; with these named, only they take the
+        split road, and the results are joined back to whole rows by event_id
     """
 
     pairs: Mapping[tuple[str, ...], Wanted] = field(default_factory=dict)
     want: Wanted = field(default_factory=Wanted)
     moves: Mapping[str, tuple[int, Column, Column]] = field(default_factory=dict)
+    inputs: frozenset[str] = frozenset()
 
     def __or__(self, other: Spec) -> Spec:
         pairs = {k: self.pairs.get(k, Wanted()) | other.pairs.get(k, Wanted()) for k in {**self.pairs, **other.pairs}}
-        return Spec(pairs, self.want | other.want, {**self.moves, **other.moves})
+        return Spec(pairs, self.want | other.want, {**self.moves, **other.moves}, self.inputs | other.inputs)
 
     def steps(self, key: str) -> Callable[[DataFrame, Road], DataFrame]:
         def run(df: DataFrame, road: Road) -> DataFrame:
@@ -84,6 +88,10 @@ class Spec:
 
         return run
 
+    def over(self, df: DataFrame, key: str, source: DataFrame | None = None) -> DataFrame:
+        """`df` with everything added; `source` as in `per_key`."""
+        return per_key(df, key, self.steps(key), source, sorted(self.inputs - {key}))
+
 
 class Road(NamedTuple):
     """The two scan functions a set of steps is written against."""
@@ -103,7 +111,11 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
 
 
 def per_key(
-    df: DataFrame, key: str, steps: Callable[[DataFrame, Road], DataFrame], source: DataFrame | None = None
+    df: DataFrame,
+    key: str,
+    steps: Callable[[DataFrame, Road], DataFrame],
+    source: DataFrame | None = None,
+    inputs: Sequence[str] = (),
 ) -> DataFrame:
     """Run `steps` on all rows: hot keys on the split road, the others on plain windows.
 
@@ -114,19 +126,42 @@ def per_key(
     if hot is None:
         return steps(df.repartition(key), PLAIN)
     cold = steps(df.join(hot, key, "left_anti").repartition(key), PLAIN)
-    return cold.unionByName(steps(df.join(hot, key, "left_semi"), SPLIT))
+    rows = df.join(hot, key, "left_semi")
+    if not inputs:
+        return cold.unionByName(steps(rows, SPLIT))
+    # the split road stores its rows between scans, so only what it reads goes there
+    found = materialize(steps(rows.select(key, "event_id", *inputs), SPLIT).drop(key, *inputs), "found")
+    return cold.unionByName(rows.join(found, "event_id"))
 
 
 def running_index(df: DataFrame, name: str, source: DataFrame | None = None) -> DataFrame:
     """1-based position of each row in the whole log.
 
-    Hours are the blocks. If an hour is hot itself, range partitions are.
+    Hours, minutes or seconds are the blocks, the longest of which none is too full. If a second is too
+    full, range partitions are.
     """
-    hour = F.col("ts_us") - F.pmod("ts_us", F.lit(3_600_000_000))
     want = Wanted(sums={name: F.lit(1)})
-    if hot_keys((df if source is None else source).withColumn("_block", hour), ["_block"]) is None:
-        return _carry(df.withColumn("_block", hour), [], want, ORDER)
-    return split_scan(df, [], want)
+    width = _block_width(df if source is None else source)
+    if width is None:
+        return split_scan(df, [], want)
+    return _carry(df.withColumn("_block", _start("ts_us", width)), [], want, ORDER)
+
+
+def _start(column: str, width: int) -> Column:
+    return F.col(column) - F.pmod(column, F.lit(width))
+
+
+def _block_width(df: DataFrame) -> int | None:
+    """Longest time block in which no stretch of the log exceeds the row limit."""
+    limit = setting(df, "hotRows", HOT_ROWS)
+    if df.count() <= limit:
+        return HOUR_US
+    counts = materialize(df.groupBy(_start("ts_us", SECOND_US).alias("s")).agg(F.count("*").alias("n")), "seconds")
+    for width in (HOUR_US, MINUTE_US, SECOND_US):
+        fullest = counts.groupBy(_start("s", width)).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
+        if fullest <= limit:
+            return width
+    return None
 
 
 def global_scan(df: DataFrame, want: Wanted, order: Sequence[str]) -> DataFrame:
