@@ -11,10 +11,10 @@ def access_log(events: DataFrame) -> DataFrame:
 
     `label_int`, `risk_stub` and `pred_stub` ride along so that metrics can be run without a model.
     """
-    # wall-clock microseconds, read as UTC whatever the session time zone is
-    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    # `ts` has no zone; its wall clock is read as UTC whatever the session time zone is
+    clock = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    base = events.withColumns({"k": k, "_us": micros})
+    base = events.withColumns({"k": k})
     user, k, value = F.col("user_id"), F.col("k"), F.col("value")
     kind = F.col("event_type")
     moved = k >= 95
@@ -24,9 +24,9 @@ def access_log(events: DataFrame) -> DataFrame:
         "event_id",
         user.cast("string").alias("entity_id"),
         F.when(user % 12 < 8, "user").when(user % 12 < 11, "edge_device").otherwise("service_account").alias("entity_type"),
-        F.timestamp_micros("_us").alias("timestamp"),
+        clock.alias("timestamp"),
         F.concat(F.lit("10.0.0."), k.cast("string")).alias("source_ip"),
-        (user % 100).cast("double").__sub__(50).__add__(F.when(moved, F.lit(30.0)).otherwise(k / F.lit(1000.0))).alias("geo_lat"),
+        ((user % 100).cast("double") - 50 + F.when(moved, F.lit(30.0)).otherwise(k / F.lit(1000.0))).alias("geo_lat"),
         ((user % 300).cast("double") - 150).alias("geo_lon"),
         F.concat(F.lit("city"), (user % 7 + F.when(moved, 1).otherwise(0)).cast("string")).alias("geo_city"),
         F.lit("XX").alias("geo_country"),
