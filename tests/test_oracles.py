@@ -35,3 +35,27 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["event_id", "rule", "detail", "mitre", "confidence"] and df.count() > 0
+
+
+def test_hot_and_cold_keys_together(spark):
+    """Features and rules with some keys above the limit and some below equal those without hot keys."""
+    from pyspark.sql import functions as F
+
+    from watchframe.plans import detect, queries
+    from watchframe.schema import FEATURES, RULE_FLAGS
+    from watchframe.session import materialize
+
+    def table():
+        df = detect.with_features_and_rules(queries.read_access_log(spark, SF_DIR), queries.SMALL)
+        return materialize(df.select("event_id", *[F.round(c, 6).alias(c) for c in FEATURES], *RULE_FLAGS, "rule_hits"))
+
+    plain = table()
+    spark.conf.set("watchframe.hotRows", "65")
+    spark.conf.set("watchframe.blockRows", "40")
+    try:
+        split = table()
+    finally:
+        spark.conf.unset("watchframe.hotRows")
+        spark.conf.unset("watchframe.blockRows")
+    assert plain.count() == split.count() == 1000
+    assert plain.exceptAll(split).count() == 0
