@@ -63,7 +63,7 @@ def struct_array(columns: dict[str, pa.Array | np.ndarray | list]) -> pa.Array:
 
 def partitions(df: DataFrame) -> int:
     """Tasks for a shuffle of `df`: the session's number, or more when the input is larger than that many buckets."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(least, math.ceil(size / BUCKET_BYTES)) if size < 1 << 55 else least
 
