@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchframe.llm import bpe, simhash, token_counts
+from watchframe.llm import bpe, mixing, simhash, token_counts
 
-_MODULES = [token_counts, bpe, simhash]
+_MODULES = [token_counts, bpe, mixing, simhash]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
