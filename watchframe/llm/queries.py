@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchframe.llm import bpe, mixing, simhash, token_counts
+from watchframe.llm import bpe, mixing, simhash, token_counts, topk
 
-_MODULES = [token_counts, bpe, mixing, simhash]
+_MODULES = [token_counts, bpe, topk, mixing, simhash]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
