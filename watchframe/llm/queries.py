@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchframe.llm import bpe, decision_list, mixing, simhash, token_counts, topk
+from watchframe.llm import bpe, decision_list, language, mixing, simhash, token_counts, topk, toxicity
 
-_MODULES = [token_counts, decision_list, bpe, topk, mixing, simhash]
+_MODULES = [token_counts, decision_list, language, bpe, topk, mixing, simhash, toxicity]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
