@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchframe.llm import bpe, decision_list, language, mixing, pii, simhash, token_counts, topk, toxicity
+from watchframe.llm import bpe, decision_list, language, mixing, ngram, pii, simhash, token_counts, topk, toxicity
 
-_MODULES = [token_counts, decision_list, language, bpe, topk, mixing, simhash, pii, toxicity]
+_MODULES = [token_counts, ngram, decision_list, language, bpe, topk, mixing, simhash, pii, toxicity]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
