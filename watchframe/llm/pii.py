@@ -344,10 +344,10 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with each span of its text replaced by its kind in angle brackets; of overlapping spans the first stays."""
-    marked = find(docs, key, text)
+    row, whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text")
+    marked = find(docs.select(row, F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), "key", "text")
     ordered = F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("done"))
-    whole = F.col(f"`{text}`")
 
     def put(state: Column, span: Column) -> Column:
         before = whole.substr(state["done"] + 1, span["start"] - state["done"])
@@ -356,7 +356,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     rest = F.aggregate(ordered, start, put, lambda s: F.concat(s["out"], whole.substr(s["done"] + 1, F.length(whole))))
     hidden = F.when(F.size("spans") > 0, rest).otherwise(whole)
-    return marked.withColumn(text, hidden).select(docs.columns)
+    return marked.select(*[hidden.alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

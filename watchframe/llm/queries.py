@@ -4,14 +4,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from watchframe.llm import bpe, decision_list, language, mixing, ngram, pii, simhash, token_counts, topk, toxicity
 
 _MODULES = [token_counts, ngram, decision_list, language, bpe, topk, mixing, simhash, pii, toxicity]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for m in _MODULES for k, f in vars(m).items() if k.startswith("op") and k[2:3].isdigit()}
+    found = {k: f for m in _MODULES for k, f in vars(m).items() if k.startswith("op") and k[2:3].isdigit()}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in _MODULES for k, v in getattr(m, "ORACLE_SQL", {}).items()}
+    found = {k: v for m in _MODULES for k, v in getattr(m, "ORACLE_SQL", {}).items()}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -42,16 +42,19 @@ def text_fingerprint(raw: bytes, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * total > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp long) per row; null and wordless texts have fingerprint zero."""
-
+def _fingerprint():
     def make():
         def batch(texts: pa.Array) -> pa.Array:
             return pa.array(np.array([text_fingerprint(x) for x in raw_texts(texts)], np.uint64).view(np.int64))
 
         return batch
 
-    return docs.select(F.col(f"`{key}`"), arrow_column(make, "long")(F.col(f"`{text}`")).alias("fp"))
+    return arrow_column(make, "long")
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, fp long) per row; null and wordless texts have fingerprint zero."""
+    return docs.select(F.col(f"`{key}`"), _fingerprint()(F.col(f"`{text}`")).alias("fp"))
 
 
 def masks() -> list[int]:
@@ -186,12 +189,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", brute: in
     classes = materialize(components(marked, key, brute), "components")
     chosen = classes.filter("component_id IS NOT NULL").select(F.col("component_id").alias(key)).distinct()
     named = docs.join(chosen, key, "left_semi").dropDuplicates([key])
-    bare = docs.filter(F.col(f"`{key}`").isNull())
-    print_ = arrow_column(lambda: lambda texts: pa.array(np.array([text_fingerprint(x) for x in raw_texts(texts)], np.uint64).view(np.int64)), "long")
-    bare = bare.withColumn("_fp", print_(F.col(f"`{text}`")))
-    alone = classes.filter("component_id IS NULL").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
-    bare = bare.join(alone, "_fp").dropDuplicates(["_root"]).drop("_fp", "_root")
-    return named.select(docs.columns).unionByName(bare.select(docs.columns))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    bare = docs.filter(F.col(f"`{key}`").isNull()).select(whole.alias("row"), F.col(f"`{text}`").alias("text"))
+    bare = bare.select("row", _fingerprint()(F.col("text")).alias("fp"))
+    alone = classes.filter("component_id IS NULL").select("fp", "root")
+    bare = bare.join(alone, "fp").dropDuplicates(["root"]).select("row.*")
+    return named.select(docs.columns).unionByName(bare)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
