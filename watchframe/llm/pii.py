@@ -227,7 +227,7 @@ def varied(text: str, spans: list[tuple[int, int, int]], random: np.random.Gener
     return "".join([*out, text[done:]]), moved
 
 
-def train(texts: list[str], rounds: int = 14, lanes: int = 100, seed: int = 0) -> Tagger:
+def train(texts: list[str], steps: int = 200, lanes: int = 100, seed: int = 0) -> Tagger:
     """A tagger from texts labelled by their pattern spans; half of the windows with spans have varied separators."""
     random = np.random.default_rng(seed)
     by_kind: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(len(KINDS) + 1)]
@@ -254,7 +254,7 @@ def train(texts: list[str], rounds: int = 14, lanes: int = 100, seed: int = 0) -
     codes, tags = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     p, step = tagger.p, 0
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    for _ in range(rounds):
+    while step < steps:
         order = random.permutation(len(rows))
         for a in range(0, len(order), lanes):
             part = order[a : a + lanes]
@@ -363,5 +363,6 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(read_documents(spark, sf_dir).select("doc_id", "text"))
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    of_kind = lambda kind: lambda s: s["kind"] == kind
+    counts = [F.size(F.filter(base, of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
