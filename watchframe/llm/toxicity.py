@@ -5,6 +5,8 @@ sentences is (noisy-or). The word weights are learned in numpy from document lab
 labelled documents. Scoring runs beside the scan over every sentence of every text, and locates those at fault.
 """
 
+import zlib
+from array import array
 from collections import Counter
 from itertools import repeat
 
@@ -17,7 +19,7 @@ from watchframe.llm.common import add_columns, arrow_column, crc, raw_texts, rea
 
 #: Bounds of the sample that weights are learned from: documents of each label, bytes of a text, features,
 #: and documents that a feature is found in at least.
-SAMPLE, TEXT_BYTES, VOCABULARY, LEAST = 3000, 32 << 10, 40_000, 8
+SAMPLE, TEXT_BYTES, VOCABULARY, LEAST = 1500, 32 << 10, 40_000, 8
 #: Words have letters, digits and any character beyond ASCII; sentences end with these.
 _ENDS = b".!?\n"
 _CODE = bytes(0x0A if b in _ENDS else b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -75,27 +77,32 @@ class Model:
         return min(max(whole, 0.0), 1.0), found
 
 
+def _document(raw: bytes) -> set[bytes]:
+    return {f for w in set(raw.lower().translate(_CODE).split()) for f in features(w)}
+
+
 def train(texts: list[bytes], toxic: np.ndarray, rounds: int = 60, rate: float = 0.15, decay: float = 1e-4) -> Model:
     """Noisy-or likelihood by Adam over all documents at once."""
-    known: dict[bytes, list[bytes]] = {}
-    split = [[{f for w in s.split() for f in known.get(w) or known.setdefault(w, features(w))} for s in sentences(raw)] for raw in texts]
+    rough = np.zeros(1 << 20, np.int32)  # documents by hash of the feature: bounds memory before features are told apart
+    for raw in texts:
+        rough += np.bincount(np.unique([zlib.crc32(f) & 0xFFFFF for f in _document(raw)]).astype(np.int64), minlength=1 << 20).astype(np.int32)
     count: Counter = Counter()
     bad_count: Counter = Counter()
-    for doc, y in zip(split, toxic, strict=True):
-        words = set().union(*doc)
-        count.update(words)
-        if y:
-            bad_count.update(words)
+    for raw, bad in zip(texts, toxic, strict=True):
+        found = [f for f in _document(raw) if rough[zlib.crc32(f) & 0xFFFFF] >= LEAST]
+        count.update(found)
+        if bad:
+            bad_count.update(found)
     vocabulary = {w: i for i, (w, n) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]) if n >= LEAST}
     if not vocabulary or toxic.all() or not toxic.any():
         return Model({}, -20.0 if not toxic.any() else 20.0)
-    word, sentence, document = [], [], []
-    for d, doc in enumerate(split):
-        for s in doc:
-            if s:
-                ids = [vocabulary[w] for w in s if w in vocabulary]
-                word += ids
-                sentence += [len(document)] * len(ids)
+    word, sentence, document = array("q"), array("q"), array("q")
+    for d, raw in enumerate(texts):
+        for s in sentences(raw):
+            if words := set(s.split()):
+                ids = {vocabulary[f] for w in words for f in features(w) if f in vocabulary}
+                word.extend(ids)
+                sentence.extend([len(document)] * len(ids))
                 document.append(d)
     word, sentence, document = (np.array(x, np.int64) for x in (word, sentence, document))
     y, n_bad, n_good = toxic.astype(float), toxic.sum(), (~toxic).sum()
