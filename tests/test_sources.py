@@ -194,3 +194,10 @@ def test_timeline_and_recent(make_log):
     assert [(r.anomalous, r.rules) for r in line] == [(False, ""), (True, "device_spoofing")]
     assert line[0].timestamp == START.strftime("%Y-%m-%dT%H:%M:%S.000000Z")
     assert [r.event_id for r in serving.recent_events(log, 2).collect()] == ["00002", "00001"]
+
+
+def test_csv_lists_keep_quotes_and_backslashes(spark, make_log, tmp_path):
+    items = ["grep 'a b' f", 'say "x"', "C:\\dir\\'n", "ls", ""]
+    log = make_log([{}]).withColumn("command_sequence", F.array(*map(F.lit, items))).withColumn("label", F.lit("normal"))
+    files.write_dataset(log, str(tmp_path / "set"))
+    assert files.read_events(spark, str(tmp_path / "set/access_logs")).first()["command_sequence"] == items

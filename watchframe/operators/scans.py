@@ -9,7 +9,8 @@ all rows would make its window a single huge task, so such keys take another roa
 * each block is scanned by a window of its own;
 * one summary row per block (sums, first, last) is scanned in block order and joined back as carry.
 
-A key counts as hot above `watchframe.hotRows` rows; blocks aim at `watchframe.blockRows` rows.
+The order of rows is (ts_us, event_id); rows that share both are taken in any order, on either road, and a null
+key is a key like others. A key counts as hot above `watchframe.hotRows` rows; blocks aim at `watchframe.blockRows` rows.
 
 Frames over the last `span` are never sliding frames (Spark recomputes those for every row). They are
 the difference of two growing frames, or on the split road a running sum over arrivals and departures.
@@ -21,6 +22,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, fields
+from functools import reduce
+from operator import and_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,7 +70,7 @@ class Spec:
     want: the scan keyed by the key
     moves: name -> (span_us, gain, loss), see `plain_slide`
     inputs: columns the above read besides the key and event_id; with these named, only they take the
-        split road, and the results are joined back to whole rows by event_id
+        split road, and the results are joined back to whole rows by the id that a row was stored with
     """
 
     pairs: Mapping[tuple[str, ...], Wanted] = field(default_factory=dict)
@@ -125,13 +128,18 @@ def per_key(
     hot = hot_keys(df if source is None else source, [key])
     if hot is None:
         return steps(df.repartition(key), PLAIN)
-    cold = steps(df.join(hot, key, "left_anti").repartition(key), PLAIN)
-    rows = df.join(hot, key, "left_semi")
+    # stored once: both roads read it, and a row is told apart by the id that it was written with, as event_id
+    # may repeat or be null
+    df = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    hot = hot.select(F.col(key).alias("_hot"))
+    is_hot = df[key].eqNullSafe(hot["_hot"])
+    cold = steps(df.join(hot, is_hot, "left_anti").drop("_row").repartition(key), PLAIN)
+    rows = df.join(hot, is_hot, "left_semi")
     if not inputs:
-        return cold.unionByName(steps(rows, SPLIT))
+        return cold.unionByName(steps(rows.drop("_row"), SPLIT))
     # the split road stores its rows between scans, so only what it reads goes there
-    found = materialize(steps(rows.select(key, "event_id", *inputs), SPLIT).drop(key, *inputs), "found")
-    return cold.unionByName(rows.join(found, "event_id"))
+    found = materialize(steps(rows.select("_row", key, "event_id", *inputs), SPLIT).drop(key, "event_id", *inputs), "found")
+    return cold.unionByName(rows.join(found, "_row").drop("_row"))
 
 
 def running_index(df: DataFrame, name: str, source: DataFrame | None = None) -> DataFrame:
@@ -140,11 +148,23 @@ def running_index(df: DataFrame, name: str, source: DataFrame | None = None) ->
     Hours, minutes or seconds are the blocks, the longest of which none is too full. If a second is too
     full, range partitions are.
     """
-    want = Wanted(sums={name: F.lit(1)})
-    width = _block_width(df if source is None else source)
+    source = df if source is None else source
+    width = _block_width(source)
     if width is None:
-        return split_scan(df, [], want)
-    return _carry(df.withColumn("_block", _start("ts_us", width)), [], want, ORDER)
+        return split_scan(df, [], Wanted(sums={name: F.lit(1)}))
+    # blocks are counted on the narrow table; hours pass one task, at most 8,784 a year, and blocks one per hour
+    counts = source.groupBy(_start("ts_us", width).alias("_at")).agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_hour", _start("_at", HOUR_US))
+    hours = counts.groupBy("_hour").agg(F.sum("_n").alias("_all"))
+    before = Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select(F.col("_hour").alias("_h"), F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy("_hour").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_earlier", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    counts = counts.join(hours, counts["_hour"].eqNullSafe(hours["_h"])).select("_at", (F.col("_ahead") + F.col("_earlier")).alias("_ahead"))
+    rows = df.withColumn("_block", _start("ts_us", width))
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("_block").orderBy(*ORDER)))
+    joined = rows.join(counts, rows["_block"].eqNullSafe(counts["_at"]))
+    return joined.select(*df.columns, (F.col("_place") + F.col("_ahead")).alias(name))
 
 
 def _start(column: str, width: int) -> Column:
@@ -253,7 +273,7 @@ def _carry(df: DataFrame, keys: Sequence[str], want: Wanted, order: Sequence[str
         rows = rows.withColumn(
             f"_i_{n}", F.col(f"_i_{n}") - F.coalesce(F.lag(f"_i_{n}", k).over(win), F.lit(0))
         )
-        summary = summary.join(_tail(df, by_block, order, n, *want.tails[n]), by_block)
+        summary = _join_blocks(summary, _tail(df, by_block, order, n, *want.tails[n]), by_block, "inner")
 
     blocks = Window.partitionBy(*keys).orderBy("_block")
     earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
@@ -271,7 +291,7 @@ def _carry(df: DataFrame, keys: Sequence[str], want: Wanted, order: Sequence[str
         carry[f"_c_{n}"] = F.slice(F.flatten(F.reverse(lists)), 1, k - 1)
     handed = summary.select(*by_block, *[c.alias(n) for n, c in carry.items()])
 
-    joined = rows.join(handed, by_block, "left")
+    joined = _join_blocks(rows, handed, by_block, "left")
     out = {n: F.col(f"_i_{n}") + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in want.sums}
     out |= {n: F.col(f"_c_{n}") for n in want.totals}
     out |= {n: F.coalesce(F.col(f"_i_{n}"), F.col(f"_c_{n}")) for n in want.fills}
@@ -286,6 +306,13 @@ def _carry(df: DataFrame, keys: Sequence[str], want: Wanted, order: Sequence[str
     return joined.select(*keep, *[c.alias(n) for n, c in out.items()])
 
 
+def _join_blocks(df: DataFrame, more: DataFrame, by_block: Sequence[str], how: str) -> DataFrame:
+    """Join by keys and block; a null key is a key like others."""
+    named = more.select(*[F.col(c).alias(f"_b_{c}") for c in by_block], *[c for c in more.columns if c not in by_block])
+    same = reduce(and_, [df[c].eqNullSafe(named[f"_b_{c}"]) for c in by_block])
+    return df.join(named, same, how).drop(*[f"_b_{c}" for c in by_block])
+
+
 def _tail(df: DataFrame, by_block: Sequence[str], order: Sequence[str], name: str, value: Column, k: int) -> DataFrame:
     """The last k-1 values of each block, newest first."""
     back = Window.partitionBy(*by_block).orderBy(*[F.desc(c) for c in order])

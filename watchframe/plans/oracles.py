@@ -269,10 +269,6 @@ _ECOD = (
 )
 
 
-def _window_end(late_us: int) -> str:
-    return f"(SELECT max(us) FROM log) - {late_us}"
-
-
 def _joined(parts: list[str]) -> str:
     first, *rest = parts
     subs = f"({_FEATURES[first]}) a0"
@@ -339,13 +335,15 @@ def oracles() -> dict[str, str]:
         "feat_freq_encoding": _feature("freq"),
         "feat_command_entropy": f"{_LOG} SELECT event_id, round(-sum(n / 4.0::DOUBLE * log2(n / 4.0::DOUBLE)), 6) + 0.0 AS command_entropy FROM (SELECT event_id, c, count(*) AS n FROM (SELECT event_id, unnest(commands) AS c FROM log) GROUP BY ALL) GROUP BY event_id",
         "feature_table": _feature_table(),
+        "features_and_rules": f"SELECT * FROM ({_feature_table()}) f JOIN ({ruled} SELECT event_id, bf::BIGINT AS rule_brute_force, it::BIGINT AS rule_impossible_travel, cs::BIGINT AS rule_credential_stuffing, ds::BIGINT AS rule_device_spoofing,"
+        " (bf::INT + it::INT + cs::INT + ds::INT)::BIGINT AS hits FROM ruled) r USING (event_id)",
         "validate_events": _flawed(),
         "validate_ipv4": _IPS,
         "validate_labels": "SELECT event_id, 'phishing' AS label, 'label' AS reasons FROM events WHERE event_id % 40 = 0",
         "validate_profiles": f"{_LOG}, s AS (SELECT entity_id, count(DISTINCT regexp_extract(resource, '([0-9]+)$', 1)) AS c, avg(duration) / 8 AS sd FROM log GROUP BY 1)"
         " SELECT entity_id, concat_ws(',', CASE WHEN NOT (sd > 0 AND sd <= 6) THEN 'typical_hour_std' END, CASE WHEN c NOT BETWEEN 3 AND 20 THEN 'resource_set' END) AS reasons FROM s",
         "temporal_split": "SELECT event_id, (ts <= (SELECT min(ts) FROM events) + INTERVAL 20 DAY)::BIGINT AS is_train FROM events",
-        "label_join": f"{_LOG}, h AS (SELECT event_id, label_int, CASE WHEN event_id % 7 = 0 THEN 'other' ELSE {_names('label_int')} END AS label FROM log WHERE event_id % 3 <> 0)"
+        "label_join": f"{_LOG}, h AS (SELECT event_id, label_int, CASE WHEN event_id % 7 = 0 THEN 'other' ELSE {_names('label_int')} END AS label FROM log)"
         " SELECT event_id, label, CASE WHEN label = 'other' THEN 0 ELSE label_int END::BIGINT AS label_int, (label <> 'other' AND label_int > 0)::BIGINT AS is_attack FROM h",
         "label_distribution": f"{_LOG} SELECT {_names('label_int')} AS label, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM log), 4) AS pct FROM log GROUP BY 1",
         "dataset_stats": f"{_LOG} SELECT count(*) AS events, count(DISTINCT entity_id) AS entities, count(DISTINCT entity_id) FILTER (entity_type = 'user') AS users,"
@@ -358,13 +356,13 @@ def oracles() -> dict[str, str]:
         "precision_at_k": f"{_LOG} SELECT {_K} AS k, round({_PK}, 6) AS precision_at_k",
         "average_precision": f"{_LOG}{_CURVE} SELECT round({_AP}, 8) AS average_precision",
         "roc_auc": f"{_LOG}{_CURVE} SELECT round({_AUC}, 8) AS roc_auc",
-        "class_report": f"{_LOG}{_CLASSES} SELECT metric, class, round(value, 6) AS value FROM rep",
+        "class_report": f"{_LOG}{_CLASSES} SELECT metric, class, round(value, 8) AS value FROM rep",
         "confusion_matrix": f"{_LOG}{_CLASSES} SELECT c::BIGINT AS label_int, {', '.join(f'(SELECT count(*) FROM log WHERE label_int = c AND pred = {i}) AS predicted_{i}' for i in range(8))} FROM cls",
         "false_positive_rate": f"{_LOG} SELECT round({_FPR}, 8) AS false_positive_rate",
-        "metrics_report": f"{_LOG}{_FULL_REPORT} SELECT metric, class, round(value, 6) AS value FROM full_rep",
+        "metrics_report": f"{_LOG}{_FULL_REPORT} SELECT metric, class, round(value, 8) AS value FROM full_rep",
         "report_summary": f"{_LOG}{_FULL_REPORT} SELECT "
         + ", ".join(
-            f"(SELECT round(value, 6) FROM full_rep WHERE metric = '{m}' AND class = '{c}') AS {name}"
+            f"(SELECT round(value, 8) FROM full_rep WHERE metric = '{m}' AND class = '{c}') AS {name}"
             for m, c, name in [
                 ("accuracy", "all", "accuracy"), ("precision", "macro avg", "macro_precision"), ("recall", "macro avg", "macro_recall"),
                 ("macro_f1", "all", "macro_f1"), ("pr_auc", "all", "pr_auc"), ("roc_auc", "all", "roc_auc"), ("precision_at_1pct", "all", "precision_at_1pct"),
@@ -396,10 +394,10 @@ def oracles() -> dict[str, str]:
         " array_to_string(list_transform(string_split(name, '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS attack_vector,"
         f" regexp_extract({_mitre('name')}, '^(T[0-9.]+)', 1) AS mitre_tag, round(risk, 4) AS risk_score, 'HIGH' AS severity, (risk > 80)::BIGINT AS alarm FROM p",
         "entity_timeline": f"{hits} SELECT r.event_id, strftime(r.ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS timestamp, r.resource AS resource_accessed, (count(h.rule) > 0)::BIGINT AS anomalous,"
-        " coalesce(string_agg(h.rule, ',' ORDER BY h.pos), '') AS rules FROM ruled r LEFT JOIN hits h USING (event_id) WHERE r.entity_id = '7' GROUP BY ALL",
+        " coalesce(string_agg(h.rule, ',' ORDER BY h.pos), '') AS rules, coalesce(string_agg('[' || h.mitre || '] ' || h.detail, '; ' ORDER BY h.pos), '') AS trace FROM ruled r LEFT JOIN hits h USING (event_id) WHERE r.entity_id = '7' GROUP BY ALL",
         "event_rate": f"{_LOG} SELECT (us - us % {HOUR_US}) // 1000000 AS window_start, entity_type, count(*) AS events, sum(failed)::BIGINT AS failures FROM log GROUP BY 1, 2",
         "recent_events": f"{_LOG} SELECT event_id, entity_id, round(risk, 4) AS risk_stub FROM log ORDER BY ts DESC, event_id DESC LIMIT 6",
-        "unused_resources": f"{_LOG}, cat AS (SELECT DISTINCT resource FROM log WHERE failed = 1), e AS (SELECT DISTINCT entity_id FROM log), used AS (SELECT DISTINCT entity_id, resource FROM log),"
+        "unused_resources": f"{_LOG}, cat AS (SELECT DISTINCT resource FROM log), e AS (SELECT DISTINCT entity_id FROM log), used AS (SELECT DISTINCT entity_id, resource FROM log),"
         " m AS (SELECT e.entity_id, cat.resource FROM e, cat WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.entity_id = e.entity_id AND u.resource = cat.resource))"
         " SELECT e.entity_id, coalesce(string_agg(m.resource, ',' ORDER BY m.resource), '') AS unused FROM e LEFT JOIN m USING (entity_id) GROUP BY 1",
         "far_places": f"{_LOG}, home AS (SELECT entity_id, arg_min(geo_lat, us) AS lat, arg_min(geo_lon, us) AS lon FROM log GROUP BY 1), pl(i, city, plat, plon) AS (VALUES {_PLACE_ROWS}),"
@@ -430,7 +428,6 @@ def oracles() -> dict[str, str]:
         f" SELECT cohort, sum(n)::BIGINT AS n, count(*) AS buckets FROM b WHERE cohort <> 'user' OR bucket_us >= (SELECT min(bucket_us) FROM b WHERE cohort = 'user') + {15 * DAY_US} GROUP BY 1",
         "stream_previous_event": f"{_LOG} SELECT CAST(event_id AS VARCHAR) AS event_id, coalesce(lag(us) OVER ({_E}), 0) AS prev_us, coalesce(lag(device) OVER ({_E}), '') AS prev_device FROM log",
         "stream_failure_counts": f"{_LOG}, w AS (SELECT *, unnest(range(us - us % {12 * HOUR_US} - {36 * HOUR_US}, us + 1, {12 * HOUR_US})) AS s FROM log)"
-        f" SELECT s // 1000000 AS window_start, source_ip, count(*) AS events, sum(failed)::BIGINT AS failures FROM w WHERE s + {48 * HOUR_US} <= {_window_end(HOUR_US)} GROUP BY 1, 2",
-        "stream_cohort_rates": f"{_LOG} SELECT (us - us % {HOUR_US}) // 1000000 AS window_start, entity_type, count(*) AS events, sum((label_int > 0)::INT)::BIGINT AS anomalies FROM log"
-        f" WHERE us - us % {HOUR_US} + {HOUR_US} <= {_window_end(HOUR_US)} GROUP BY 1, 2",
+        f" SELECT s // 1000000 AS window_start, source_ip, count(*) AS events, sum(failed)::BIGINT AS failures, count(DISTINCT entity_id) AS targets FROM w GROUP BY 1, 2",
+        "stream_cohort_rates": f"{_LOG} SELECT (us - us % {HOUR_US}) // 1000000 AS window_start, entity_type, count(*) AS events, sum((label_int > 0)::INT)::BIGINT AS anomalies FROM log GROUP BY 1, 2",
     }

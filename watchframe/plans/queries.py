@@ -227,6 +227,14 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.compute_features(_log(spark, sf_dir)).select("event_id", *_rounded_features(FEATURES))
 
 
+@query
+def features_and_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main product: all 37 features, the rule flags and the number of hits of every event, on shared partitionings."""
+    df = detect.with_features_and_rules(_log(spark, sf_dir), detect.Settings(thresholds=THRESHOLDS))
+    flags = [F.col(c).cast("long").alias(c) for c in RULE_FLAGS]
+    return df.select("event_id", *_rounded_features(FEATURES), *flags, F.size("rule_hits").cast("long").alias("hits"))
+
+
 # ---- checks, labels, splits ----------------------------------------------------------------------
 
 
@@ -316,7 +324,7 @@ def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _log(spark, sf_dir)
-    hidden = log.where("event_id % 3 <> 0").select(
+    hidden = log.select(
         "event_id", F.when(F.col("event_id") % 7 == 0, "other").otherwise(int_to_label(F.col("label_int"))).alias("label")
     )
     df = labels.encode_labels(labels.join_labels(log.drop("label_int"), hidden))
@@ -377,7 +385,7 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = metrics.confusion_counts(_log(spark, sf_dir), "pred_stub")
-    return metrics.class_report(counts).select("metric", "class", _r("value", 6))
+    return metrics.class_report(counts).select("metric", "class", _r("value", 8))
 
 
 @query
@@ -397,14 +405,14 @@ def metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = materialize(_log(spark, sf_dir).select("event_id", "label_int", "risk_stub", "pred_stub"), "scored")
     path = scratch_path(spark, "report")
     files.write_report(metrics.metrics_report(scored, "risk_stub", "pred_stub"), path)
-    return files.read_report(spark, path).select("metric", "class", _r("value", 6))
+    return files.read_report(spark, path).select("metric", "class", _r("value", 8))
 
 
 @query
 def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = materialize(_log(spark, sf_dir).select("event_id", "label_int", "risk_stub", "pred_stub"), "scored")
     df = metrics.report_summary(metrics.metrics_report(scored, "risk_stub", "pred_stub"))
-    return df.select(*[_r(c, 6) for c in df.columns])
+    return df.select(*[_r(c, 8) for c in df.columns])
 
 
 # ---- command sequences ---------------------------------------------------------------------------
@@ -545,7 +553,7 @@ def triage_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entity_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One entity's timeline. Rules look at other entities on the same address, so they see the whole log."""
     df = serving.entity_timeline(rules.with_rules(_log(spark, sf_dir), THRESHOLDS), "7")
-    return df.withColumn("anomalous", F.col("anomalous").cast("long")).drop("trace")
+    return df.withColumn("anomalous", F.col("anomalous").cast("long"))
 
 
 @query
@@ -561,7 +569,7 @@ def recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def unused_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _log(spark, sf_dir)
-    df = labels.unused_resources(log, log.where("not auth_success"))
+    df = labels.unused_resources(log, log)
     return df.select("entity_id", F.array_join("unused", ",").alias("unused"))
 
 
@@ -646,12 +654,14 @@ def outlier_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.with_outliers(df, model).select("event_id", _r("tabular_anomaly_score", 6), "tabular_flag")
 
 
-_runs: dict[tuple[str, str], tuple] = {}
+_runs: dict[tuple, tuple] = {}
 
 
 def _run(spark: SparkSession, sf_dir: str) -> tuple:
-    """One training run per session and data set, shared by the model queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """One training run per session and state of the data's files, shared by the model queries."""
+    files_ = spark.read.parquet(f"{sf_dir}/events.parquet").select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size")
+    state = files_.distinct().agg(F.count("*"), F.sum(F.xxhash64(*files_.columns).cast("decimal(38,0)"))).first()
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(state))
     if key not in _runs:
         _runs[key] = detect.run(_log(spark, sf_dir), SMALL)
     return _runs[key]
@@ -716,7 +726,7 @@ def drift_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def drift_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.drift_events(_series(spark, sf_dir), delta=0.9).select("cohort", "type", "message", "bucket_us")
+    return drift.drift_events(_series(spark, sf_dir)).select("cohort", "type", "message", "bucket_us")
 
 
 @query
@@ -745,15 +755,16 @@ def stream_previous_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_failure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sliding counts per address; the approximate number of targets is left to the rows-only tests."""
+    """Sliding counts per address, windows that are still open at the end included."""
     windows = stateful.failure_counts(_stream(spark, sf_dir), "source_ip", "2 days", "12 hours", "1 hour")
-    df = stateful.drained(windows)
-    return df.select(F.unix_seconds("window.start").alias("window_start"), "source_ip", "events", "failures")
+    df = stateful.drained_windows(windows, "source_ip")
+    return df.select(F.unix_seconds("window.start").alias("window_start"), "source_ip", "events", "failures", "targets")
 
 
 @query
 def stream_cohort_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = stateful.drained(stateful.cohort_rates(_stream(spark, sf_dir), F.col("label_int") > 0, "1 hour", "1 hour"))
+    rates = stateful.cohort_rates(_stream(spark, sf_dir), F.col("label_int") > 0, "1 hour", "1 hour")
+    df = stateful.drained_windows(rates, "entity_type")
     return df.select(F.unix_seconds("window.start").alias("window_start"), "entity_type", "events", "anomalies")
 
 

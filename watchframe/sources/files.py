@@ -86,10 +86,14 @@ def flatten_events(nested: DataFrame) -> DataFrame:
 
 
 def decode_list(text: Column) -> Column:
-    """Items of the text of a list such as `['a', "b"]`; anything else gives an empty array. Never evaluated."""
-    quoted = r"""'([^']*)'|"([^"]*)\""""
+    """Items of the text of a list such as `['a', "b"]`; anything else gives an empty array. Never evaluated.
+
+    Within quotes a backslash makes the next character a plain one.
+    """
+    quoted = r"""'((?:[^'\\]|\\[\s\S])*)'|"((?:[^"\\]|\\[\s\S])*)\""""
     items = F.transform(
-        F.regexp_extract_all(text, F.lit(quoted), F.lit(0)), lambda q: F.substring(q, F.lit(2), F.length(q) - 2)
+        F.regexp_extract_all(text, F.lit(quoted), F.lit(0)),
+        lambda q: F.regexp_replace(F.substring(q, F.lit(2), F.length(q) - 2), r"\\([\s\S])", "$1"),
     )
     listed = text.rlike(r"^\s*\[[\s\S]*\]\s*$")
     return F.when(F.coalesce(listed, F.lit(False)), items).otherwise(F.array().cast("array<string>"))
@@ -115,13 +119,18 @@ def encode_commands(commands: Column, vocabulary: list[str] | None = None) -> Co
 # ---- sinks ---------------------------------------------------------------------------------------
 
 
+def _quoted(item: Column) -> Column:
+    """An item as `decode_list` reads it: quotes and backslashes get a backslash."""
+    return F.concat(F.lit("'"), F.regexp_replace(item, r"([\\'])", r"\\$1"), F.lit("'"))
+
+
 def write_dataset(events: DataFrame, path: str, profiles: DataFrame | None = None, format: str = "csv") -> None:
     """Labelled events as a log without labels, a label table and, when given, the profiles."""
 
     def put(df: DataFrame, name: str) -> None:
         if format == "csv":
             lists = [f.name for f in df.schema if isinstance(f.dataType, ArrayType)]
-            quoted = {c: F.format_string("[%s]", F.array_join(F.transform(c, lambda v: F.concat(F.lit("'"), v, F.lit("'"))), ", ")) for c in lists}
+            quoted = {c: F.format_string("[%s]", F.array_join(F.transform(c, _quoted), ", ")) for c in lists}
             writer = df.withColumns(quoted).write.option("header", True).option("escape", '"')
             writer.option("timestampFormat", TIME_FORMAT).csv(f"{path}/{name}")
         else:

@@ -65,12 +65,15 @@ def with_previous(stream: DataFrame, timeout_ms: int | None = None) -> DataFrame
 
 
 def failure_counts(stream: DataFrame, key: str, width: str, slide: str, late: str) -> DataFrame:
-    """Events, failures and about how many entities per key and sliding window; closed by the watermark."""
+    """Events, failures and distinct entities per key and sliding window; closed by the watermark.
+
+    The entities of a key's open windows are the state: at most as many as there are entities.
+    """
     windows = stream.withWatermark("timestamp", late).groupBy(F.window("timestamp", width, slide), key)
     return windows.agg(
         F.count("*").alias("events"),
         F.sum("failed").cast("long").alias("failures"),
-        F.approx_count_distinct("entity_id").alias("targets"),
+        F.size(F.collect_set("entity_id")).cast("long").alias("targets"),
     )
 
 
@@ -128,3 +131,19 @@ def drained(stream: DataFrame, after: Callable[[DataFrame], DataFrame] = lambda
     )
     query.awaitTermination()
     return after(spark.read.schema(stream.schema).parquet(f"{path}/out"))
+
+
+def drained_windows(stream: DataFrame, *keys: str) -> DataFrame:
+    """Run a windowed aggregate over everything available now: the last state of every window, open ones included."""
+    spark = stream.sparkSession
+    path = scratch_path(spark, "windows")
+
+    def put(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/out/batch={batch}")
+
+    writer = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{path}/out")
+    values = [c for c in stream.columns if c not in ("window", *keys)]
+    latest = rows.groupBy("window", *keys).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
+    return latest.select("window", *keys, *[F.col(f"_last.{c}") for c in values])
