@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchframe.llm.common import add_columns, arrow_column, crc, raw_texts, read_documents
+from watchframe.llm.common import add_columns, arrow_column, crc, first_rows, raw_texts, read_documents
 
 WINDOW, HIDDEN, LANES = 64, 8, 2048
 #: Bounds of the sample: documents, and code points of the passage that each gives at a place that its key draws.
@@ -154,14 +154,15 @@ def train(texts: list[bytes], labels: list[str], rounds: int = 4, lanes: int = 2
 
 
 def sample(docs: DataFrame, key: str, text: str, label: str, most: int = SAMPLE) -> tuple[list[bytes], list[str]]:
-    """A passage from each of up to `most` labelled rows, those of the smallest md5 of the key."""
+    """A passage from each of up to `most` labelled rows, picked and ordered by hashes."""
     key_text = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).cast("binary")
     order = F.md5(key_text)
     named = docs.filter(F.col(f"`{text}`").isNotNull() & F.col(f"`{label}`").isNotNull())
     start = F.pmod(F.crc32(F.concat(key_text, F.lit("place").cast("binary"))), F.greatest(F.length(f"`{text}`") - PASSAGE, F.lit(1)))
     passage = F.col(f"`{text}`").substr((start + 1).cast("int"), F.lit(PASSAGE))
     rows = named.select(order.alias("_order"), passage.alias("_text"), F.col(f"`{label}`").cast("string").alias("_label"))
-    rows = rows.orderBy("_order", "_label", "_text").limit(most).toPandas()
+    count = docs.filter(F.col(f"`{label}`").isNotNull()).count()
+    rows = first_rows(rows, ["_order", "_label", "_text"], most, count).toPandas()
     return [t.encode("utf-8", "replace") for t in rows["_text"]], rows["_label"].tolist()
 
 
