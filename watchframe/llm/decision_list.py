@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchframe.llm.common import add_columns, arrow_column, crc, raw_texts, read_documents, struct_array
+from watchframe.llm.common import add_columns, arrow_column, crc, first_rows, raw_texts, read_documents, struct_array
 from watchframe.session import materialize
 
-#: The most labelled documents that a list is learned from (those of the smallest md5 of the key).
+#: The most labelled documents that a list is learned from (picked and ordered by hashes).
 SAMPLE = 20_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_distinct"]
@@ -174,7 +174,7 @@ def learn_from(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label:
     columns = {k: v.alias(k) for k, v in features().items()}
     rows = stats.join(known, key).filter(~base_failed())
     rows = rows.select(F.md5(F.col(key).cast("string").cast("binary")).alias("_order"), "_label", (crc(key) % 3 == 1).alias("_prune"), *columns.values())
-    pdf = rows.orderBy("_order", *columns).limit(sample).toPandas()
+    pdf = first_rows(rows, ["_order", *columns], sample, known.count()).toPandas()
     if pdf.empty:
         return []
     return learn({k: pdf[k].to_numpy() for k in columns}, pdf["_label"].to_numpy() == 0, pdf["_prune"].to_numpy())
