@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchframe.llm.common import add_columns, arrow_column, raw_texts, read_documents
+from watchframe.llm.common import add_columns, arrow_column, first_rows, raw_texts, read_documents
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, HALF, HIDDEN, LANES = 64, 32, 10, 2048
@@ -307,11 +307,11 @@ def added_spans(texts: list[str], known: list[list[tuple[int, int, int]]], tagge
 
 
 def sample(docs: DataFrame, key: str, text: str, most: int = SAMPLE) -> list[str]:
-    """Texts with a digit or an @, those of the smallest md5 of the key."""
+    """Texts with a digit or an @, picked and ordered by hashes."""
     order = F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(order.alias("_order"), F.col(f"`{text}`").alias("_text"))
     rows = rows.filter((F.octet_length("_text") <= TEXT_BYTES) & F.col("_text").rlike("[0-9@]"))
-    return rows.orderBy("_order", F.md5(F.col("_text").cast("binary"))).limit(most).toPandas()["_text"].tolist()
+    return first_rows(rows, ["_order", F.md5(F.col("_text").cast("binary"))], most, rows.count()).toPandas()["_text"].tolist()
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
