@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchframe.llm.common import add_columns, arrow_column, crc, raw_texts, read_documents
+from watchframe.llm.common import add_columns, arrow_column, crc, first_rows, raw_texts, read_documents
 
 #: Bounds of the sample that weights are learned from: documents of each label, bytes of a text, features,
 #: and documents that a feature is found in at least.
@@ -124,15 +124,16 @@ def train(texts: list[bytes], toxic: np.ndarray, rounds: int = 60, rate: float =
 
 
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int = SAMPLE) -> tuple[list[bytes], np.ndarray]:
-    """Up to `most` texts of either label, those of the smallest md5 of the key among the given labels."""
+    """Up to `most` texts of either label, picked and ordered by hashes of the labels' keys."""
     known = labels.select(F.col(key).cast("long").alias("_key"), F.col(label).cast("int").alias("_y")).filter("_key IS NOT NULL AND _y IN (0, 1)")
     order = F.md5(F.col("_key").cast("string").cast("binary"))
-    chosen = [known.filter(F.col("_y") == y).orderBy(order, "_key").limit(most) for y in (0, 1)]
+    counts = dict(map(tuple, known.groupBy("_y").count().collect()))
+    chosen = [first_rows(known.filter(F.col("_y") == y), [order, "_key"], most, counts.get(y, 0)) for y in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1]).dropDuplicates(["_key"])  # at most 2 * most rows, so they may be broadcast
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("_key"), F.col(f"`{text}`").alias("_text"))
     texts = texts.filter(F.octet_length("_text") <= TEXT_BYTES)
-    rows = texts.join(F.broadcast(chosen), "_key").orderBy(order, "_key", F.md5(F.col("_text").cast("binary"))).limit(2 * most)
-    rows = rows.select("_text", "_y").toPandas()
+    rows = texts.join(F.broadcast(chosen), "_key").dropDuplicates(["_key"])  # a repeated key gives one of its texts
+    rows = rows.orderBy(order, "_key").select("_text", "_y").toPandas()
     return [t.encode("utf-8", "replace") for t in rows["_text"]], rows["_y"].to_numpy() == 1
 
 
