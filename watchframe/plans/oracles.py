@@ -269,6 +269,26 @@ _ECOD = (
 )
 
 
+def _fitted_tail(i: int) -> str:
+    left = f"-ln(greatest(l{i} / total, 1 / (total + 1)))"
+    right = f"-ln(greatest((total - l{i} + e{i}) / total, 1 / (total + 1)))"
+    pick = f"CASE WHEN sk{i} < 0 THEN {left} WHEN sk{i} > 0 THEN {right} ELSE {left} + {right} END"
+    return f"greatest({left}, {right}, {pick})"
+
+
+_ECOD_FITTED = (
+    "{log}{rules}, o AS (SELECT event_id, label_int = 0 AS fits, "
+    + ", ".join(f"({e})::DOUBLE AS c{i}" for i, (e, _) in enumerate(_OUT))
+    + " FROM ruled), sk AS (SELECT "
+    + ", ".join(f"(SELECT sum(pow(c{i} - mu, 3)) FROM o, (SELECT avg(c{i}) AS mu FROM o WHERE fits) WHERE fits) AS sk{i}" for i in range(5))
+    + "), t AS (SELECT event_id, (count(*) FILTER (fits) OVER ())::DOUBLE AS total, "
+    + ", ".join(f"count(*) FILTER (fits) OVER (ORDER BY c{i} RANGE UNBOUNDED PRECEDING) AS l{i}, count(*) FILTER (fits) OVER (PARTITION BY c{i}) AS e{i}" for i in range(5))
+    + " FROM o) SELECT event_id, round("
+    + " + ".join(_fitted_tail(i) for i in range(5))
+    + ", 4) AS ecod_score FROM t, sk"
+)
+
+
 def _joined(parts: list[str]) -> str:
     first, *rest = parts
     subs = f"({_FEATURES[first]}) a0"
@@ -408,6 +428,7 @@ def oracles() -> dict[str, str]:
         "source_csv": f"{_LOG} {_SHOWN}",
         "source_nested_json": f"{_LOG} {_SHOWN}",
         "ecod_exact": _ECOD.format(log=_LOG, rules=_RULES),
+        "ecod_fitted": _ECOD_FITTED.format(log=_LOG, rules=_RULES),
         "clean_matrix": f"{_LOG} SELECT event_id, round(CASE WHEN event_id % 5 = 4 THEN 2 * duration ELSE duration END, 4) AS total FROM log",
         "numeric_columns": f"{_LOG}{_NOVEL}{_MOVED}, x AS (SELECT * FROM (SELECT event_id, duration AS session_duration_raw, bytes AS bytes_transferred_raw, 0.0 AS command_entropy FROM log)"
         f" JOIN (SELECT event_id, row_number() OVER ({_E}) - 1 AS session_frequency_1h, avg(failed) OVER ({_E} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS auth_failure_rate FROM log) USING (event_id)"

@@ -646,6 +646,17 @@ def ecod_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.ecod_exact(materialize(df), names).select("event_id", _r("ecod_score", 4))
 
 
+@query
+def ecod_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted ECOD: ranks of the normal events, scores of all."""
+    df, names = _outlier_columns(spark, sf_dir)
+    df = materialize(df)
+    normal = labels.normal_only(df)
+    signs = normal.agg(*[outliers._skew_sign(F.skewness(outliers.finite_or_zero(F.col(c)))) for c in names]).first()
+    scored = outliers.with_ecod(df, materialize(outliers.value_ranks(normal, names), "ranks"), names, list(signs))
+    return scored.select("event_id", F.round("ecod", 4).alias("ecod_score"))
+
+
 @query
 def outlier_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, names = _outlier_columns(spark, sf_dir)
