@@ -45,11 +45,11 @@ HEADLINE = [
 
 
 def features_and_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.with_features_and_rules(read_access_log(spark, sf_dir), q.SMALL)
+    return detect.with_features_and_rules(read_access_log(spark, sf_dir), q.SETTINGS)
 
 
 def train_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.run(read_access_log(spark, sf_dir), q.SMALL)[1]
+    return detect.run(read_access_log(spark, sf_dir), q.SETTINGS)[1]
 
 
 def run(df: DataFrame) -> None:
@@ -108,7 +108,7 @@ def main() -> None:
     for times in filter(None, scale.split(",")):
         log = materialize(copied(read_access_log(spark, sf_dir), int(times)))
         start = time.perf_counter()
-        run(detect.with_features_and_rules(log, q.SMALL))
+        run(detect.with_features_and_rules(log, q.SETTINGS))
         seconds = time.perf_counter() - start
         sizes[times] = {"events": events * int(times), "sec": round(seconds, 2), "events_per_sec": round(events * int(times) / seconds)}
         print(times, sizes[times], file=sys.stderr, flush=True)

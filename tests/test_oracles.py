@@ -47,7 +47,7 @@ def test_hot_and_cold_keys_together(spark):
     from watchframe.session import materialize
 
     def table():
-        df = detect.with_features_and_rules(queries.read_access_log(spark, SF_DIR), queries.SMALL)
+        df = detect.with_features_and_rules(queries.read_access_log(spark, SF_DIR), queries.SETTINGS)
         return materialize(df.select("event_id", *[F.round(c, 6).alias(c) for c in FEATURES], *RULE_FLAGS, "rule_hits"))
 
     plain = table()

@@ -391,7 +391,7 @@ def oracles() -> dict[str, str]:
         "command_decoding": f"SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat(event_id % 30 + 1, ',0') WHEN 1 THEN concat(event_id % 30 + 1, ',', list_position({vocabulary}, 'logout')) ELSE '' END AS ids FROM events",
         "markov_transitions": f"{_LOG}, p AS ({_PAIRS.format(t='log')}) SELECT src, dst, count(*) AS n FROM p WHERE label_int = 0 GROUP BY 1, 2",
         "markov_surprise": f"{_LOG}, cut AS (SELECT * REPLACE (CASE WHEN event_id % 20 = 0 THEN commands[1:1] ELSE commands END AS commands) FROM log),"
-        f" tr AS (SELECT src, dst, count(*) AS n FROM ({_PAIRS.format(t='(SELECT * FROM log WHERE label_int = 0 AND NOT list_contains(commands, {0!r}))'.format('purchase'))}) GROUP BY 1, 2),"
+        f" tr AS (SELECT src, dst, count(*) AS n FROM ({_PAIRS.format(t='(SELECT * FROM log WHERE label_int = 0)')}) GROUP BY 1, 2),"
         f" q AS (SELECT event_id, src, dst FROM ({_PAIRS.format(t='cut')})),"
         f" lp AS (SELECT q.event_id, ln((coalesce(tr.n, 0) + 1e-5) / (coalesce((SELECT sum(n) FROM tr t WHERE t.src = q.src), 0) + 1e-5 * {_SIZE})) AS lp FROM q LEFT JOIN tr USING (src, dst))"
         " SELECT log.event_id, round(coalesce(-avg(lp), 0.0), 6) AS sequence_anomaly_score FROM log LEFT JOIN lp USING (event_id) GROUP BY 1",
@@ -430,17 +430,19 @@ def oracles() -> dict[str, str]:
         "ecod_exact": _ECOD.format(log=_LOG, rules=_RULES),
         "ecod_fitted": _ECOD_FITTED.format(log=_LOG, rules=_RULES),
         "clean_matrix": f"{_LOG} SELECT event_id, round(CASE WHEN event_id % 5 = 4 THEN 2 * duration ELSE duration END, 4) AS total FROM log",
-        "numeric_columns": f"{_LOG}{_NOVEL}{_MOVED}, x AS (SELECT * FROM (SELECT event_id, duration AS session_duration_raw, bytes AS bytes_transferred_raw, 0.0 AS command_entropy FROM log)"
+        "numeric_columns": f"{_LOG}{_MEASURED}{_FROZEN}, x AS (SELECT * FROM (SELECT event_id, duration AS session_duration_raw, bytes AS bytes_transferred_raw, 0.0 AS command_entropy FROM log)"
         f" JOIN (SELECT event_id, row_number() OVER ({_E}) - 1 AS session_frequency_1h, avg(failed) OVER ({_E} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS auth_failure_rate FROM log) USING (event_id)"
         f" JOIN (SELECT event_id, v AS geo_velocity_kmh FROM moved) USING (event_id) JOIN (SELECT event_id, CASE WHEN div > 1 THEN 1.0 / div ELSE 0 END AS privilege_expansion_rate FROM (SELECT event_id, (sum(novel) OVER ({_E}))::DOUBLE AS div FROM nov)) USING (event_id)"
         f" JOIN (SELECT event_id, sum(novel) OVER ({_E} RANGE BETWEEN {WEEK_US} PRECEDING AND CURRENT ROW) AS privilege_expansion_velocity FROM nov) USING (event_id)"
-        f" JOIN (SELECT event_id, device_stability_index FROM ({_FEATURES['device']})) USING (event_id) JOIN ({_FEATURES['freq']}) USING (event_id)),"
+        f" JOIN (SELECT event_id, device_stability_index FROM ({_FEATURES['device']})) USING (event_id) JOIN ({_FEATURES['freq']}) USING (event_id)"
+        " JOIN (SELECT * EXCLUDE (entity_id, acc, entity_maturity_weight, is_cold_start) FROM frozen) USING (event_id)),"
         " m AS (SELECT "
         + ", ".join(
             f"avg({c})::DOUBLE AS {c}"
             for c in [
                 "session_duration_raw", "bytes_transferred_raw", "command_entropy", "session_frequency_1h", "auth_failure_rate", "geo_velocity_kmh",
                 "privilege_expansion_rate", "privilege_expansion_velocity", "device_stability_index", "resource_freq_encoding", "ip_freq_encoding",
+                *[f"{z}_zscore" for z in _Z],
             ]
         )
         + " FROM x) SELECT feature, round(mean, 4) AS mean FROM (UNPIVOT m ON COLUMNS(*) INTO NAME feature VALUE mean)",

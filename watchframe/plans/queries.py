@@ -54,13 +54,8 @@ THRESHOLDS = rules.Thresholds(
 )
 TRAIN_DAYS = 20
 SLICE_DAYS = 10
-SMALL = detect.Settings(
-    train_days=TRAIN_DAYS,
-    parse_commands=True,
-    thresholds=THRESHOLDS,
-    outliers=outliers.Params(trees=50),
-    fusion=fusion.Params(trees=5, depth=4, attribution_trees=20),
-)
+# a run's parameters are the defaults, but for what the sample tables need: 30 days of events with few per entity
+SETTINGS = detect.Settings(train_days=TRAIN_DAYS, parse_commands=True, thresholds=THRESHOLDS)
 
 _QUERIES: dict[str, Query] = {}
 
@@ -446,8 +441,7 @@ def markov_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def markov_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _log(spark, sf_dir)
-    # the model is fitted on frequent commands only, so that some transitions are new to it
-    model = sequence.fit(_normal(log).where("not array_contains(command_sequence, 'purchase')"))
+    model = sequence.fit(_normal(log))
     shortened = F.when(F.col("event_id") % 20 == 0, F.slice("command_sequence", 1, 1)).otherwise(F.col("command_sequence"))
     df = sequence.with_surprise(log.withColumn("command_sequence", shortened), model)
     return df.select("event_id", _r("sequence_anomaly_score", 6))
@@ -674,7 +668,7 @@ def _run(spark: SparkSession, sf_dir: str) -> tuple:
     state = files_.distinct().agg(F.count("*"), F.sum(F.xxhash64(*files_.columns).cast("decimal(38,0)"))).first()
     key = (spark.sparkContext.applicationId, sf_dir, tuple(state))
     if key not in _runs:
-        _runs[key] = detect.run(_log(spark, sf_dir), SMALL)
+        _runs[key] = detect.run(_log(spark, sf_dir), SETTINGS)
     return _runs[key]
 
 
@@ -716,10 +710,10 @@ def clean_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def numeric_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean of each numeric feature that needs no baseline."""
-    df = features.with_behaviour(_prepared(spark, sf_dir))
-    names = numeric_features(df.columns)
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.avg(c).alias("mean")) for c in names])
+    """Mean of each numeric feature; the z-scores in millions, as in `feature_table`."""
+    df = features.compute_features(_log(spark, sf_dir))
+    shown = {c: F.round(F.col(c) / 1e6, 3) if c.endswith("_zscore") else F.col(c) for c in numeric_features(df.columns)}
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.avg(v).alias("mean")) for c, v in shown.items()])
     return df.agg(cells.alias("c")).select(F.inline("c")).select("feature", _r("mean", 4))
 
 
