@@ -172,6 +172,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
                 each = [x.tolist() for x in texts[a : a + 500]]
                 columns = [keys.slice(a, len(each)), pa.array([b"".join([ids[w] for w in x]) for x in each], pa.binary()), pa.array([" ".join([decoded[w] for w in x]) for x in each], pa.string())]
                 out.append(pa.RecordBatch.from_arrays(columns, schema=schema))
+        rows.clear()
         return pa.Table.from_batches(out, schema=schema)
 
     questions = packs.groupBy("bucket").applyInArrow(ask, "shard int, bucket int, words binary")

@@ -14,7 +14,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_BYTES = 16 << 20
 
 
+#: Rows in an Arrow batch: texts may be long, and a task holds a batch in the JVM and in Python.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let this session send texts to Python in batches of BATCH_ROWS rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

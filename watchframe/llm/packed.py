@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from watchframe.llm.common import partitions
 
+#: Bytes of rows that a task gathers before it packs them by bucket.
+PACK_BYTES = 24 << 20
+
 
 def _stream(table: pa.Table | pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
@@ -38,11 +41,22 @@ def packed(docs: DataFrame, columns: list[str], text: str) -> tuple[DataFrame, i
     rows = docs.select(*[F.col(f"`{c}`") for c in columns])
     rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(n)).cast("int"))
 
-    def pack(batches):
+    def gathered(batches):
+        held, size = [], 0
         for batch in batches:
-            if not batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= PACK_BYTES:
+                yield held
+                held, size = [], 0
+        yield held
+
+    def pack(batches):
+        for held in gathered(batches):
+            if not sum(b.num_rows for b in held):
                 continue
-            table = pa.Table.from_batches([batch]).sort_by("_bucket").combine_chunks()
+            table = pa.Table.from_batches(held).sort_by("_bucket").combine_chunks()
+            held.clear()
             bucket = table["_bucket"].to_pylist()
             plain = table.drop_columns(["_bucket"])
             buckets, packs, a = [], [], 0
@@ -60,3 +74,4 @@ def unpacked(table: pa.Table):
     """The record batches in the packs of one bucket, one at a time, in an order of their own."""
     for data in sorted(table["pack"].to_pylist()):
         yield from pa.ipc.open_stream(data)
+    pa.default_memory_pool().release_unused()  # workers live on, their memory should not
