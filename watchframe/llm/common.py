@@ -1,5 +1,6 @@
 """Helpers that the operators of this subpackage share."""
 
+import ctypes
 import math
 from collections.abc import Callable, Iterator
 
@@ -30,6 +31,14 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: workers are used again, and what one stage held would add to the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def arrow_column(make: Callable[[], Callable[[pa.Array], pa.Array]], returns: str) -> Callable[..., Column]:
     """An Arrow column function; `make` runs once per task and gives the function over batches."""
 
@@ -37,6 +46,7 @@ def arrow_column(make: Callable[[], Callable[[pa.Array], pa.Array]], returns: st
         f = make()
         for batch in batches:
             yield f(batch)
+        give_back()
 
     return F.arrow_udf(run, returnType=returns)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchframe.llm.common import partitions
+from watchframe.llm.common import give_back, partitions
 
 #: Bytes of rows that a task gathers before it packs them by bucket.
 PACK_BYTES = 24 << 20
@@ -74,4 +74,4 @@ def unpacked(table: pa.Table):
     """The record batches in the packs of one bucket, one at a time, in an order of their own."""
     for data in sorted(table["pack"].to_pylist()):
         yield from pa.ipc.open_stream(data)
-    pa.default_memory_pool().release_unused()  # workers live on, their memory should not
+    give_back()
