@@ -10,7 +10,7 @@ from test_rows import fingerprint, parts
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from watchframe.llm import mixing, queries
+from watchframe.llm import mixing, pii, queries
 from watchframe.session import materialize
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -39,6 +39,18 @@ def test_stages(spark):
     assert Counter((r["doc_id"], r["n_tokens"]) for r in encoded) == want
 
 
+def test_overlapping_spans(spark):
+    """The union of overlapping spans is hidden, and no more."""
+    texts = {
+        "at 10.0.0.59 4539148803436467 end": "at <ip> end",
+        "x@host.com-4111 1111 1111 1111, ok": "<email>, ok",
+        "10.0.0.59 4539148803436467 and 10.0.0.7": "<ip> and <ip>",
+    }
+    assert all(len({k for k, _, _ in base(t)}) == 2 for t in texts)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [r["text"] for r in pii.redact(docs).orderBy("doc_id").collect()] == list(texts.values())
+
+
 def test_empty_table(spark, none):
     docs = none.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in cp.STAGES:

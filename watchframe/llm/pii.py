@@ -343,7 +343,10 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with each span of its text replaced by its kind in angle brackets; of overlapping spans the first stays."""
+    """`docs` with each span of its text replaced by its kind in angle brackets.
+
+    Spans that overlap are replaced as one, from the first start to the last end, by the kind of the first.
+    """
     row, whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text")
     marked = find(docs.select(row, F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), "key", "text")
     ordered = F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
@@ -352,7 +355,8 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     def put(state: Column, span: Column) -> Column:
         before = whole.substr(state["done"] + 1, span["start"] - state["done"])
         replaced = F.struct(F.concat(state["out"], before, F.lit("<"), span["kind"], F.lit(">")).alias("out"), span["end"].alias("done"))
-        return F.when(span["start"] >= state["done"], replaced).otherwise(state)
+        longer = F.struct(state["out"].alias("out"), span["end"].alias("done"))
+        return F.when(span["start"] >= state["done"], replaced).when(span["end"] > state["done"], longer).otherwise(state)
 
     rest = F.aggregate(ordered, start, put, lambda s: F.concat(s["out"], whole.substr(s["done"] + 1, F.length(whole))))
     hidden = F.when(F.size("spans") > 0, rest).otherwise(whole)
