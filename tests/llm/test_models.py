@@ -90,6 +90,17 @@ def test_language(spark, odd, none):
     assert language.language(none).count() == 0
 
 
+def test_rare_language_is_sampled(spark):
+    """Three rows among 60,000 are learned from, and predicted."""
+    rare = F.col("id").isin(7, 20_011, 41_234)
+    text = F.when(rare, F.lit("щука жук и чай " * 20)).otherwise(F.concat(F.lit("the plain words of row "), F.col("id").cast("string")))
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.when(rare, "ru").otherwise("en").alias("lang"))
+    texts, labels = language.sample(docs, "doc_id", "text", "lang")
+    assert labels.count("ru") == 3 and labels.count("en") == language.SAMPLE
+    network = language.train(texts, labels)
+    assert language.identify(docs.filter(rare), network).filter("lang_pred = 'ru'").count() == 3
+
+
 def test_tagger_gradients():
     tagger, rng = pii.Tagger.fresh(), np.random.default_rng(0)
     tagger.p = {k: v.astype(np.float64) for k, v in tagger.p.items()}

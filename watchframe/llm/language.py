@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchframe.llm.common import add_columns, arrow_column, crc, first_rows, raw_texts, read_documents
+from watchframe.llm.common import add_columns, arrow_column, crc, raw_texts, read_documents
+from watchframe.session import materialize
 
 WINDOW, HIDDEN, LANES = 64, 8, 2048
-#: Bounds of the sample: documents, and code points of the passage that each gives at a place that its key draws.
-SAMPLE, PASSAGE = 4000, 320
+#: Bounds of the sample: documents of each language, and code points of the passage that each gives at a place that
+#: its key draws.
+SAMPLE, PASSAGE = 1000, 320
 UNKNOWN = "und"
 _LETTER = np.array([b >= 0x80 or chr(b).isalpha() for b in range(256)])
 
@@ -154,16 +156,24 @@ def train(texts: list[bytes], labels: list[str], rounds: int = 4, lanes: int = 2
 
 
 def sample(docs: DataFrame, key: str, text: str, label: str, most: int = SAMPLE) -> tuple[list[bytes], list[str]]:
-    """A passage from each of up to `most` labelled rows, picked and ordered by hashes."""
+    """A passage from each of up to `most` labelled rows of every language, picked and ordered by hashes."""
     key_text = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).cast("binary")
     order = F.md5(key_text)
     named = docs.filter(F.col(f"`{text}`").isNotNull() & F.col(f"`{label}`").isNotNull())
     start = F.pmod(F.crc32(F.concat(key_text, F.lit("place").cast("binary"))), F.greatest(F.length(f"`{text}`") - PASSAGE, F.lit(1)))
     passage = F.col(f"`{text}`").substr((start + 1).cast("int"), F.lit(PASSAGE))
     rows = named.select(order.alias("_order"), passage.alias("_text"), F.col(f"`{label}`").cast("string").alias("_label"))
-    count = docs.filter(F.col(f"`{label}`").isNotNull()).count()
-    rows = first_rows(rows, ["_order", "_label", "_text"], most, count).toPandas()
-    return [t.encode("utf-8", "replace") for t in rows["_text"]], rows["_label"].tolist()
+    counts = materialize(rows.groupBy("_label").agg(F.count("*").alias("_count")), "languages")
+    # one pass over the documents picks about twice as many rows of each language as are kept; the rest reads those only
+    share = F.least(F.lit(1.0), F.lit(2 * most + 1000) / F.col("_count")) * (1 << 30)
+    picked = F.pmod(F.xxhash64("_order", "_text", "_label"), F.lit(1 << 30)) < share
+    picked = materialize(rows.join(F.broadcast(counts), "_label").filter(picked).select("_order", "_text", "_label"), "passages")
+    texts, labels = [], []
+    for (name,) in counts.select("_label").orderBy("_label").collect():
+        found = picked.filter(F.col("_label") == name).select("_order", "_text").orderBy("_order", "_text").limit(most).collect()
+        texts += [r["_text"].encode("utf-8", "replace") for r in found]
+        labels += [name] * len(found)
+    return texts, labels
 
 
 def identify(docs: DataFrame, network: Network | None, text: str = "text") -> DataFrame:
