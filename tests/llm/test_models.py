@@ -179,6 +179,37 @@ def test_sentences_at_fault():
     assert model.score(b"")[0] == 0
 
 
+@sample_tables
+def test_long_clean_texts(spark):
+    """Held-out clean texts, laid end to end, are clean at any place of some thousand sentences."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = toxicity.train(*toxicity.sample(docs, labels.filter(crc != 0), "doc_id", "text", "toxic"))
+    clean = docs.join(labels.filter((crc == 0) & (F.col("toxic") == 0)), "doc_id").orderBy("doc_id").select("text").collect()
+    scores = [(r["text"].encode(), model.score(r["text"].encode())[0]) for r in clean if r["text"]]
+    clean = [t for t, p in scores if p < 0.5]
+    assert len(clean) > 0.97 * len(scores)
+    for least in (1000, 3000):
+        run, n = [], 0
+        for text in clean:
+            run.append(text)
+            n += len(toxicity.sentences(text))
+            if n >= least:
+                assert model.score(b"\n".join(run))[0] < 0.5
+                run, n = [], 0
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    """A label's texts are picked by hash whatever their length, and one that is longer than the bound is whole."""
+    long = "fine words here. " * 5000
+    rows = [(i, long if i % 4 == 0 else "you utter clown." if i % 2 else "all is well.") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    texts, toxic = toxicity.sample(docs, labels, "doc_id", "text", "toxic")
+    assert sorted(texts) == sorted(t.encode() for _, t in rows) and toxic.sum() == 20
+    assert toxicity.train(texts, toxic).score(long.encode() * 4)[0] < 0.5
+
+
 def test_ordered_helper():
     assert ordered([(2,), (1,)]) == [(1,), (2,)]
 

@@ -2,7 +2,8 @@
 
 A sentence's probability is a logistic function of its distinct words and their beginnings; a document is toxic unless none of its
 sentences is (noisy-or). The word weights are learned in numpy from document labels alone, on a bounded sample of
-labelled documents. Scoring runs beside the scan over every sentence of every text, and locates those at fault.
+labelled documents of any length. Noisy-or grows with the number of sentences even when none is toxic, so the odds are
+then sharpened until LONG clean sentences laid end to end make a clean document. Scoring runs beside the scan over every sentence of every text, and locates those at fault.
 """
 
 import zlib
@@ -16,10 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchframe.llm.common import add_columns, arrow_column, crc, first_rows, raw_texts, read_documents
-
-#: Bounds of the sample that weights are learned from: documents of each label, bytes of a text, features,
-#: and documents that a feature is found in at least.
-SAMPLE, TEXT_BYTES, VOCABULARY, LEAST = 1500, 32 << 10, 40_000, 8
+from watchframe.session import materialize
+
+#: Bounds of the sample that weights are learned from: documents of each label, bytes after which no further text of a
+#: label is taken (each is taken whole), features, and documents that a feature is found in at least.
+SAMPLE, SAMPLE_BYTES, VOCABULARY, LEAST = 1500, 16 << 20, 40_000, 8
+#: Clean sentences that together stay below 0.5, and the parts of the sample that show what is needed for it.
+LONG, FOLDS = 10_000, 3
+MARGIN, SCALES = 0.5, (1.0, 1.5, 2.0, 3.0, 4.0)
 #: Words have letters, digits and any character beyond ASCII; sentences end with these.
 _ENDS = b".!?\n"
 _CODE = bytes(0x0A if b in _ENDS else b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -81,7 +86,39 @@ def _document(raw: bytes) -> set[bytes]:
     return {f for w in set(raw.lower().translate(_CODE).split()) for f in features(w)}
 
 
-def train(texts: list[bytes], toxic: np.ndarray, rounds: int = 60, rate: float = 0.15, decay: float = 1e-4) -> Model:
+def train(texts: list[bytes], toxic: np.ndarray) -> Model:
+    """Weights from all texts, sharpened as texts need that were left out: those of each fold, by a model of the others."""
+    model, fold = fit(texts, toxic), np.arange(len(texts)) % FOLDS
+    if not model.weights:
+        return model
+    odds = [np.empty(0)] * len(texts)
+    for k in range(FOLDS):
+        part = fit([texts[i] for i in np.flatnonzero(fold != k)], toxic[fold != k])
+        for i in np.flatnonzero(fold == k):
+            found = np.array((part if part.weights else model).sentence_scores(texts[i]))
+            odds[i] = found[np.isfinite(found)]
+    return sharpened(model, *sharpness(odds, toxic))
+
+
+def sharpened(model: Model, scale: float, shift: float) -> Model:
+    return Model({w: scale * x for w, x in model.weights.items()}, scale * (model.bias - shift))
+
+
+def sharpness(odds: list[np.ndarray], toxic: np.ndarray) -> tuple[float, float]:
+    """(scale, shift) of log-odds: MARGIN, as a sentence just below 0.5 leaves no room for others, and the least scale at
+    which any LONG clean sentences in a row stay below 0.5. Clean texts that are at 0.5 by themselves are left out."""
+    flat = np.concatenate([*odds, np.empty(0)]) - MARGIN
+    text = np.repeat(np.arange(len(odds)), [len(x) for x in odds])
+    for scale in SCALES:
+        each = np.logaddexp(0, scale * flat)
+        over = np.bincount(text, each, len(odds)) >= np.log(2)
+        calm = each[~(over | toxic)[text]]
+        if not len(calm) or np.add.reduceat(calm, np.arange(0, len(calm), LONG)).max() < np.log(2):
+            break
+    return scale, MARGIN
+
+
+def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = 60, rate: float = 0.15, decay: float = 1e-4) -> Model:
     """Noisy-or likelihood by Adam over all documents at once."""
     rough = np.zeros(1 << 20, np.int32)  # documents by hash of the feature: bounds memory before features are told apart
     for raw in texts:
@@ -124,17 +161,26 @@ def train(texts: list[bytes], toxic: np.ndarray, rounds: int = 60, rate: float =
 
 
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int = SAMPLE) -> tuple[list[bytes], np.ndarray]:
-    """Up to `most` texts of either label, picked and ordered by hashes of the labels' keys."""
+    """Up to `most` texts of either label, picked and ordered by hashes of the labels' keys, whatever their length; of each
+    label, those that SAMPLE_BYTES lets begin."""
     known = labels.select(F.col(key).cast("long").alias("_key"), F.col(label).cast("int").alias("_y")).filter("_key IS NOT NULL AND _y IN (0, 1)")
     order = F.md5(F.col("_key").cast("string").cast("binary"))
     counts = dict(map(tuple, known.groupBy("_y").count().collect()))
     chosen = [first_rows(known.filter(F.col("_y") == y), [order, "_key"], most, counts.get(y, 0)) for y in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1]).dropDuplicates(["_key"])  # at most 2 * most rows, so they may be broadcast
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("_key"), F.col(f"`{text}`").alias("_text"))
-    texts = texts.filter(F.octet_length("_text") <= TEXT_BYTES)
+    texts = texts.filter(F.col("_text").isNotNull())
     rows = texts.join(F.broadcast(chosen), "_key").dropDuplicates(["_key"])  # a repeated key gives one of its texts
-    rows = rows.orderBy(order, "_key").select("_text", "_y").toPandas()
-    return [t.encode("utf-8", "replace") for t in rows["_text"]], rows["_y"].to_numpy() == 1
+    rows = materialize(rows.withColumn("_bytes", F.octet_length("_text").cast("long")), "sample")  # stored: its sizes are looked at first
+    before, taken = {0: 0, 1: 0}, []
+    for k, y, n in rows.orderBy(order, "_key").select("_key", "_y", "_bytes").collect():
+        if before[y] < SAMPLE_BYTES:
+            taken.append(k)
+        before[y] += n
+    found = {}
+    for k, y, t in rows.filter(F.col("_key").isin(taken)).select("_key", "_y", "_text").toLocalIterator():
+        found[k] = t.encode("utf-8", "replace"), y == 1
+    return [found[k][0] for k in taken], np.array([found[k][1] for k in taken], bool)
 
 
 def score_with(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
