@@ -9,7 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import ordered, texts_of
+from llm.conftest import ordered, texts_of
 from pyspark.sql import functions as F
 
 from watchframe.llm import language, ngram, pii, toxicity

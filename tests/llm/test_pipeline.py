@@ -5,8 +5,8 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
-from test_models import base
-from test_rows import fingerprint, parts
+from llm.test_models import base
+from llm.test_rows import fingerprint, parts
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp

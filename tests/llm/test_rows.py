@@ -7,7 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import xxhash
-from conftest import SCHEMA, ordered, texts_of
+from llm.conftest import SCHEMA, ordered, texts_of
 from pyspark.sql import functions as F
 
 from watchframe.llm import decision_list, mixing, simhash, topk

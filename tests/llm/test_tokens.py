@@ -6,7 +6,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import ordered, texts_of
+from llm.conftest import ordered, texts_of
 from tokenizers import Tokenizer
 
 from watchframe.llm import bpe, token_counts
