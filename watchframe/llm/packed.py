@@ -32,12 +32,12 @@ def from_bytes(data: bytes) -> pa.RecordBatch:
     return next(iter(pa.ipc.open_stream(data)))
 
 
-def packed(docs: DataFrame, columns: list[str], text: str) -> tuple[DataFrame, int]:
+def packed(docs: DataFrame, columns: list[str], text: str, buckets: int | None = None) -> tuple[DataFrame, int]:
     """Packs (bucket int, pack binary) of the given columns, and how many buckets there are.
 
     Rows are dealt by the hash of all given columns, so that copies of a text under different ids spread.
     """
-    n = partitions(docs)
+    n = buckets or partitions(docs)
     rows = docs.select(*[F.col(f"`{c}`") for c in columns])
     rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(n)).cast("int"))
 

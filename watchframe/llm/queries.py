@@ -5,9 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from watchframe.llm import bpe, decision_list, language, lexical, mixing, ngram, pii, simhash, token_counts, topk, toxicity, vafile
+from watchframe.llm import bpe, decision_list, language, lexical, mixing, ngram, pii, repeats, simhash, token_counts, topk, toxicity, vafile
 
-_MODULES = [token_counts, ngram, decision_list, language, bpe, topk, mixing, simhash, pii, toxicity, vafile, lexical]
+_MODULES = [token_counts, ngram, decision_list, language, bpe, topk, mixing, simhash, pii, toxicity, vafile, repeats, lexical]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
