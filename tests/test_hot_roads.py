@@ -4,8 +4,10 @@ import pytest
 from conftest import DEFAULTS, START
 from pyspark.sql import functions as F
 
+from watchframe.operators.baseline import with_sequential
 from watchframe.operators.features import with_address_features, with_behaviour
 from watchframe.operators.log import prepared
+from watchframe.plans import detect
 from watchframe.schema import FLAT_EVENT
 from watchframe.session import materialize
 
@@ -54,3 +56,15 @@ def test_running_index_reads_the_narrow_table(spark):
     text = plan._jdf.queryExecution().executedPlan().toString()
     narrow = text.count("ReadSchema: struct<ts_us:bigint>")
     assert text.count("FileScan") - narrow == 1 and text.count("Exchange hashpartitioning") - narrow <= 7
+
+
+@pytest.mark.parametrize("name", ["repeated ids", "null ids", "null keys", "null types"])
+def test_baselines_keep_every_row(spark, name):
+    """One row out for each row in, a gate that always answers, and the same z-scores for redelivered events."""
+    log = materialize(case(spark, name) if name != "null types" else log_of(spark, 600).withColumn("entity_type", F.when(F.col("event_id") % 2 == 0, F.col("entity_type"))))
+    for mode in ("sequential", "batched"):
+        rows = materialize(detect.with_features_and_rules(log, detect.Settings(baseline_mode=mode)))
+        assert rows.count() == log.count() and rows.where("accepted is null or session_duration_zscore is null").count() == 0
+        assert rows.columns[: len(log.columns)] == log.columns
+    still = with_sequential(materialize(prepared(log).withColumns({c: F.lit(1.0) for c in ("session_duration_raw", "bytes_transferred_raw", "auth_failure_rate", "resource_diversity", "geo_velocity_kmh")})))
+    assert still.count() == log.count() and still.where("accepted").count() >= 600

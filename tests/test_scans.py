@@ -144,7 +144,7 @@ def test_block_width_is_the_longest_that_fits(spark):
     widths = {}
     for limit in ("39", "25", "10", "3"):
         spark.conf.set("watchframe.hotRows", limit)
-        widths[limit] = scans._block_width(df)
+        widths[limit] = scans.block_width(df)
         got = dict(map(tuple, running_index(df, "i").select("event_id", "i").collect()))
         spark.conf.unset("watchframe.hotRows")
         assert got == {e: i for i, (_, e) in enumerate(sorted((t, e) for e, t in enumerate(at)), 1)}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from watchframe.functions import haversine_km, hour_of_day, shannon_bits
 from watchframe.functions import weekday as weekday_of
 from watchframe.functions.scalars import DAY_US, hour_angle
+from watchframe.operators.carried import resumed
 from watchframe.operators.log import prepared
 from watchframe.operators.rules import ADDRESS_INPUTS, ENTITY_INPUTS, previous_event
 from watchframe.operators.scans import Spec, Wanted, running_index
@@ -171,14 +172,21 @@ def with_address_features(df: DataFrame, source: DataFrame | None = None) -> Dat
     return address_features(address_spec().over(df, "source_ip", source))
 
 
-def with_frequencies(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
-    """Share of the resource and of the address among all events so far; needs `_ip_seen`."""
-    seen = Spec(want=Wanted(sums={"_resource_seen": F.lit(1)}), inputs=frozenset({"ts_us"}))
-    df = running_index(seen.over(df, "resource_accessed", source), "_seen", source)
+def resource_spec() -> Spec:
+    return Spec(want=Wanted(sums={"_resource_seen": F.lit(1)}), inputs=frozenset({"ts_us"}))
+
+
+def with_frequencies(df: DataFrame, source: DataFrame | None = None, resources: DataFrame | None = None, seen: int = 0) -> DataFrame:
+    """Share of the resource and of the address among all events so far; needs `_ip_seen`.
+
+    `resources` and `seen` are what an earlier log left: its compacted rows by resource, and how many events there were.
+    """
+    df = running_index(resumed(resource_spec(), df, "resource_accessed", resources, source), "_seen", source)
+    total = F.col("_seen") + seen
     return df.withColumns(
         {
-            "resource_freq_encoding": F.col("_resource_seen") / F.col("_seen"),
-            "ip_freq_encoding": F.col("_ip_seen") / F.col("_seen"),
+            "resource_freq_encoding": F.col("_resource_seen") / total,
+            "ip_freq_encoding": F.col("_ip_seen") / total,
         }
     ).drop("_resource_seen", "_ip_seen", "_seen")
 

@@ -149,7 +149,7 @@ def running_index(df: DataFrame, name: str, source: DataFrame | None = None) ->
     full, range partitions are.
     """
     source = df if source is None else source
-    width = _block_width(source)
+    width = block_width(source)
     if width is None:
         return split_scan(df, [], Wanted(sums={name: F.lit(1)}))
     # blocks are counted on the narrow table; hours pass one task, at most 8,784 a year, and blocks one per hour
@@ -171,14 +171,14 @@ def _start(column: str, width: int) -> Column:
     return F.col(column) - F.pmod(column, F.lit(width))
 
 
-def _block_width(df: DataFrame) -> int | None:
-    """Longest time block in which no stretch of the log exceeds the row limit."""
+def block_width(df: DataFrame, keys: Sequence[str] = ()) -> int | None:
+    """Longest time block in which no stretch of the log, or of a key of it, exceeds the row limit."""
     limit = setting(df, "hotRows", HOT_ROWS)
     if df.count() <= limit:
         return HOUR_US
-    counts = materialize(df.groupBy(_start("ts_us", SECOND_US).alias("s")).agg(F.count("*").alias("n")), "seconds")
+    counts = materialize(df.groupBy(*keys, _start("ts_us", SECOND_US).alias("s")).agg(F.count("*").alias("n")), "seconds")
     for width in (HOUR_US, MINUTE_US, SECOND_US):
-        fullest = counts.groupBy(_start("s", width)).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
+        fullest = counts.groupBy(*keys, _start("s", width)).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
         if fullest <= limit:
             return width
     return None

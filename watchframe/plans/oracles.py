@@ -131,15 +131,15 @@ frozen AS (SELECT m.event_id, m.entity_id, CASE WHEN entity_id = fe AND us > fus
 """
 
 
-def _batched(last: str) -> str:
-    """Three slices of ten days, unrolled: score against the state before, fold the accepted, go on.
+def _batched(last: str, slices: int = 31) -> str:
+    """Slices of a day, unrolled: score against the state before, fold the accepted, go on.
 
     The fold here is the update rule itself, run by list_reduce over each key's ordered values.
     """
-    span = 10 * DAY_US
+    span = DAY_US
     sql = [f"sliced AS (SELECT *, us - us % {span} AS slice FROM measured)", "ranked AS (SELECT *, dense_rank() OVER (ORDER BY slice) AS b FROM sliced)"]
     state = "struct_pack(m := {m}::DOUBLE, q := {q}::DOUBLE)"
-    for b in (1, 2, 3, 4):
+    for b in range(1, slices + 1):
         if b == 1:
             source = "(SELECT *, NULL::BIGINT AS pn, NULL::BIGINT AS cn, " + ", ".join(
                 f"NULL::DOUBLE AS pm{i}, NULL::DOUBLE AS pv{i}, NULL::DOUBLE AS cm{i}, NULL::DOUBLE AS cv{i}" for i in range(6)
@@ -173,7 +173,7 @@ def _batched(last: str) -> str:
             flat = f"SELECT k, n, {', '.join(f'st{i}.m AS m{i}, st{i}.q AS q{i}' for i in range(6))} FROM ({fold})"
             old = f" UNION ALL SELECT * FROM {name}{b - 1} WHERE k NOT IN (SELECT {key} FROM a{b} WHERE acc = 1)" if b > 1 else ""
             sql.append(f"{name}{b} AS ({flat}{old})")
-    scored = " UNION ALL ".join(f"SELECT event_id, w, acc, {', '.join(f'z{i}' for i in range(6))} FROM a{b}" for b in (1, 2, 3, 4))
+    scored = " UNION ALL ".join(f"SELECT event_id, w, acc, {', '.join(f'z{i}' for i in range(6))} FROM a{b}" for b in range(1, slices + 1))
     sql.append(f"scored AS ({scored})")
     body = ",\n".join(c.replace(" AS (", " AS MATERIALIZED (", 1) for c in sql)
     return f"{_LOG}{_MEASURED},\n{body}\n{last}"
@@ -330,10 +330,15 @@ def oracles() -> dict[str, str]:
     ruled = _LOG + _RULES
     hits = ruled + _HITS
     vocabulary = "[" + ", ".join(f"'{c}'" for c in COMMANDS) + "]"
+    features_and_rules = (
+        f"SELECT * FROM ({_feature_table()}) f JOIN ({ruled} SELECT event_id, bf::BIGINT AS rule_brute_force, it::BIGINT AS rule_impossible_travel, cs::BIGINT AS rule_credential_stuffing, ds::BIGINT AS rule_device_spoofing,"
+        " (bf::INT + it::INT + cs::INT + ds::INT)::BIGINT AS hits FROM ruled) r USING (event_id)"
+    )
+    zs = ", ".join(f"{z}_zscore" for z in _Z)
     state_rows = (
         "SELECT k AS entity_id, n, "
-        + ", ".join(f"round(m{i}, 3) AS {z}_mean, round(sqrt(q{i}), 3) AS {z}_std" for i, z in enumerate(_Z))
-        + " FROM ent4"
+        + ", ".join(f"round(m{i} + 1e-7, 3) AS {z}_mean, round(sqrt(q{i}) + 1e-7, 3) AS {z}_std" for i, z in enumerate(_Z))
+        + " FROM ent31"
     )
     return {
         "rule_brute_force": f"{ruled} SELECT event_id, nf::BIGINT AS recent_failures, bf::BIGINT AS fired FROM ruled",
@@ -355,8 +360,10 @@ def oracles() -> dict[str, str]:
         "feat_freq_encoding": _feature("freq"),
         "feat_command_entropy": f"{_LOG} SELECT event_id, round(-sum(n / 4.0::DOUBLE * log2(n / 4.0::DOUBLE)), 6) + 0.0 AS command_entropy FROM (SELECT event_id, c, count(*) AS n FROM (SELECT event_id, unnest(commands) AS c FROM log) GROUP BY ALL) GROUP BY event_id",
         "feature_table": _feature_table(),
-        "features_and_rules": f"SELECT * FROM ({_feature_table()}) f JOIN ({ruled} SELECT event_id, bf::BIGINT AS rule_brute_force, it::BIGINT AS rule_impossible_travel, cs::BIGINT AS rule_credential_stuffing, ds::BIGINT AS rule_device_spoofing,"
-        " (bf::INT + it::INT + cs::INT + ds::INT)::BIGINT AS hits FROM ruled) r USING (event_id)",
+        "features_and_rules": features_and_rules,
+        "score_second_half": f"SELECT f.* EXCLUDE (entity_maturity_weight, is_cold_start, {zs}), d.* EXCLUDE (event_id) FROM ({features_and_rules}) f JOIN ({_batched(_BATCHED_ROWS)}) d USING (event_id)"
+        " JOIN events e USING (event_id) WHERE e.ts >= (SELECT date_trunc('day', min(ts)) + INTERVAL 20 DAY FROM events)",
+        "baseline_daily": _batched(_BATCHED_ROWS),
         "validate_events": _flawed(),
         "validate_ipv4": _IPS,
         "validate_labels": "SELECT event_id, 'phishing' AS label, 'label' AS reasons FROM events WHERE event_id % 40 = 0",

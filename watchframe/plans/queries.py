@@ -53,9 +53,8 @@ THRESHOLDS = rules.Thresholds(
     stuffing_fail_rate=0.5,
 )
 TRAIN_DAYS = 20
-SLICE_DAYS = 10
 # a run's parameters are the defaults, but for what the sample tables need: 30 days of events with few per entity
-SETTINGS = detect.Settings(train_days=TRAIN_DAYS, parse_commands=True, thresholds=THRESHOLDS)
+SETTINGS = detect.Settings(train_days=TRAIN_DAYS, parse_commands=True, thresholds=THRESHOLDS, baseline_mode="sequential")
 
 _QUERIES: dict[str, Query] = {}
 
@@ -222,12 +221,46 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.compute_features(_log(spark, sf_dir)).select("event_id", *_rounded_features(FEATURES))
 
 
+_ZSCORES = [f"{m}_zscore" for m in baseline.MEASURES]
+
+
+def _rows_and_hits(df: DataFrame, names: list[Column]) -> DataFrame:
+    flags = [F.col(c).cast("long").alias(c) for c in RULE_FLAGS]
+    return df.select("event_id", *names, *flags, F.size("rule_hits").cast("long").alias("hits"))
+
+
 @query
 def features_and_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main product: all 37 features, the rule flags and the number of hits of every event, on shared partitionings."""
+    df = detect.with_features_and_rules(_log(spark, sf_dir), detect.Settings(thresholds=THRESHOLDS, baseline_mode="sequential"))
+    return _rows_and_hits(df, _rounded_features(FEATURES))
+
+
+def _scores() -> list[Column]:
+    """What the daily baseline adds."""
+    return [_r("entity_maturity_weight", 6), F.col("is_cold_start"), F.col("accepted").cast("long").alias("accepted"), *[_r(z, 4) for z in _ZSCORES]]
+
+
+@query
+def score_second_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days after the twentieth, scored as a log of their own on the stored state that the days before left."""
+    s = detect.Settings(thresholds=THRESHOLDS)
+    log = _log(spark, sf_dir)
+    cut = F.date_trunc("day", F.min("timestamp")) + F.expr("INTERVAL 20 DAYS")
+    whole = materialize(log.crossJoin(F.broadcast(log.agg(cut.alias("_cut")))), "log")  # one row beside each
+    _, carried = detect.process(whole.where("timestamp < _cut").drop("_cut"), s)
+    path = scratch_path(spark, "carried")
+    carried.save(path)
+    df, _ = detect.process(whole.where("timestamp >= _cut").drop("_cut"), s, detect.load_carried(spark, path))
+    scored = {*_ZSCORES, "entity_maturity_weight", "is_cold_start"}
+    return _rows_and_hits(df, [*_rounded_features([c for c in FEATURES if c not in scored]), *_scores()])
+
+
+@query
+def baseline_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the default plan says of every event: the baseline of the days before."""
     df = detect.with_features_and_rules(_log(spark, sf_dir), detect.Settings(thresholds=THRESHOLDS))
-    flags = [F.col(c).cast("long").alias(c) for c in RULE_FLAGS]
-    return df.select("event_id", *_rounded_features(FEATURES), *flags, F.size("rule_hits").cast("long").alias("hits"))
+    return df.select("event_id", *_scores())
 
 
 # ---- checks, labels, splits ----------------------------------------------------------------------
@@ -457,9 +490,6 @@ def _behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(*kept, "auth_failure_rate", "resource_diversity", "geo_velocity_kmh")
 
 
-_ZSCORES = [f"{m}_zscore" for m in baseline.MEASURES]
-
-
 @query
 def baseline_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
     """z-scores in millions: the as-written baseline freezes at a spread of 1e-6."""
@@ -469,18 +499,17 @@ def baseline_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def baseline_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, _ = baseline.batched(_behaviour(spark, sf_dir), SLICE_DAYS)
-    return df.select(
-        "event_id", _r("entity_maturity_weight", 6), "is_cold_start", F.col("accepted").cast("long").alias("accepted"), *[_r(z, 4) for z in _ZSCORES]
-    )
+    df, _ = baseline.batched(_behaviour(spark, sf_dir))
+    return df.select("event_id", *_scores())
 
 
 @query
 def baseline_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entity baselines after the last slice."""
-    _, state = baseline.batched(_behaviour(spark, sf_dir), SLICE_DAYS)
-    means = [F.round(F.col("mean")[i], 3).alias(f"{m}_mean") for i, m in enumerate(baseline.MEASURES)]
-    spreads = [F.round(F.sqrt(F.col("var")[i]), 3).alias(f"{m}_std") for i, m in enumerate(baseline.MEASURES)]
+    _, state = baseline.batched(_behaviour(spark, sf_dir))
+    # the bias takes exact halves to one side, whatever the last bit says
+    means = [F.round(F.col("mean")[i] + 1e-7, 3).alias(f"{m}_mean") for i, m in enumerate(baseline.MEASURES)]
+    spreads = [F.round(F.sqrt(F.col("var")[i]) + 1e-7, 3).alias(f"{m}_std") for i, m in enumerate(baseline.MEASURES)]
     return state.entities.select("entity_id", "n", *means, *spreads)
 
 
@@ -775,15 +804,13 @@ def stream_cohort_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Baselines updated by a stream: ten days of feature rows arrive, the stream takes them in, and so on."""
+    """Baselines updated by a stream: a day of feature rows arrives, the stream takes it in, and so on."""
     rows = _behaviour(spark, sf_dir)
-    span = SLICE_DAYS * DAY_US
+    span = DAY_US
     table = materialize(rows.withColumn("slice", F.col("ts_us") - F.pmod("ts_us", F.lit(span))))
     path, sink_path = scratch_path(spark, "feature-stream"), scratch_path(spark, "baseline-stream")
     for (start,) in sorted(table.select("slice").distinct().collect()):
         table.where(F.col("slice") == start).drop("slice").write.mode("append").parquet(path)
         stateful.start_baseline(spark.readStream.schema(rows.schema).parquet(path), sink_path).awaitTermination()
     df = stateful.BaselineSink(sink_path).scored(spark)
-    return df.select(
-        "event_id", _r("entity_maturity_weight", 6), "is_cold_start", F.col("accepted").cast("long").alias("accepted"), *[_r(z, 4) for z in _ZSCORES]
-    )
+    return df.select("event_id", *_scores())

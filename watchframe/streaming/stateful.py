@@ -103,7 +103,7 @@ class BaselineSink:
         target = f"{self.path}/scored/batch={batch}"
         scored = baseline.score_slice(baseline.measured(df), state, self.options)
         scored.write.mode("overwrite").parquet(target)
-        after = baseline.update_state(spark.read.parquet(target), state, self.options)
+        after = baseline.update_state(spark.read.parquet(target).drop(*baseline.ADDED), state, self.options)
         after.save(f"{self.path}/state/batch={batch}")
 
     def scored(self, spark) -> DataFrame:
