@@ -249,3 +249,32 @@ def test_no_drift_in_a_steady_rate(spark):
     assert {r.cohort for r in drift.active_cohorts(steady).collect()} == {"user", "edge_device"}
     resets = spark.createDataFrame([("edge_device", 100)], "cohort string, reset_us bigint")
     assert drift.drift_events(drift.after_reset(steady, resets)).count() == 0
+
+
+def quadratic(series, delta, min_side=5):
+    """(position, buckets dropped) when every split of the window is tested at every step."""
+    n, hits, start, out = np.array([x[0] for x in series], float), np.array([x[1] for x in series], float), 0, []
+    for end in range(1, len(series) + 1):
+        old = start
+        while end - start > 1 and drift._cuts(n[start:end], hits[start:end], delta, min_side):
+            start += 1
+        if start > old:
+            out.append((end - 1, start - old))
+    return out
+
+
+def test_adaptive_window():
+    rng = random.Random(4)
+    for trial in range(20):
+        rates = [rng.choice([0.02, 0.1, 0.4]) for _ in range(4)]
+        series = [(n := rng.randrange(0, 60), sum(rng.random() < r for _ in range(n))) for r in rates for _ in range(rng.randrange(20, 60))]
+        whole = drift.Window(0.01, 5, len(series))
+        assert [(i, d) for i, x in enumerate(series) if (d := whole.add(*x))] == quadratic(series, 0.01)
+        window, held = drift.Window(0.01, 5), []
+        for i, x in enumerate(series):
+            dropped = window.add(*x)
+            held = (held + [x])[dropped:]
+            sizes = [e[3] for e in window.entries]
+            assert sizes == sorted(sizes, reverse=True) and max(sizes.count(s) for s in sizes) <= 5
+            assert [sum(c) for c in zip(*held)] == [sum(e[k] for e in window.entries) for k in (0, 1)] and len(held) == sum(e[2] for e in window.entries)
+            assert len(window.entries) <= 6 * (1 + math.log2(i + 2))

@@ -23,7 +23,7 @@ def test_every_twin_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     own = {q for q in entry.queries() if q != "pipeline" and not q.startswith("op")}  # the others are optional and tested apart
     assert own - set(entry.oracle_sql()) == {
-        "outlier_combined", "risk_scores", "alerts", "evaluation", "explanations", "drift_events",
+        "outlier_combined", "risk_scores", "alerts", "evaluation", "explanations",
     }
 
 

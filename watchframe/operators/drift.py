@@ -1,12 +1,16 @@
 """Shifts of the anomaly rate per cohort.
 
-The log is reduced to counts per (cohort, time bucket) by a distributed aggregation. Only that series,
-whose length depends on the time range and not on the rows, goes through the adaptive-window test
-(ADWIN: Bifet and Gavalda, 2007).
+The log is reduced to counts per (cohort, time bucket) by a distributed aggregation. That series, whose
+length depends on the time range and not on the rows, streams through the adaptive-window test (ADWIN:
+Bifet and Gavalda, 2007). The window is an exponential histogram: a step costs, and its state holds, a number
+of entries that grows with the logarithm of the window.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,27 +45,67 @@ def _cuts(n: np.ndarray, hits: np.ndarray, delta: float, min_side: int) -> bool:
     return bool((np.abs(h0 / n0 - h1 / n1) > bound).any())
 
 
-def drift_events(series: DataFrame, delta: float = 0.001, min_side: int = 5) -> DataFrame:
-    """One row per bucket at which a cohort's rate is found to have shifted."""
-
-    def detect(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bucket_us")
-        n, hits, at = (pdf[c].to_numpy() for c in ("n", "anomalies", "bucket_us"))
-        cohort, start, found = pdf["cohort"].iloc[0], 0, []
-        for end in range(1, len(pdf) + 1):
-            old = start
-            while end - start > 1 and _cuts(n[start:end], hits[start:end], delta, min_side):
-                start += 1
-            if start > old:
-                rate = hits[start:end].sum() / n[start:end].sum()
-                message = (
-                    f"Anomaly rate distribution shift detected for cohort '{cohort}'. Baseline may need recalibration."
-                )
-                facts = {"dropped_buckets": str(start - old), "rate": f"{rate:.6f}"}
-                found.append((cohort, "distribution_shift", message, facts, int(at[end - 1])))
-        return pd.DataFrame(found, columns=["cohort", "type", "message", "metadata", "bucket_us"])
-
-    return series.groupBy("cohort").applyInPandas(detect, EVENTS)
+#: Entries of one size in a window before the two oldest of them become one of the next size.
+PER_SIZE = 5
+
+
+@dataclass
+class Window:
+    """An adaptive window as an exponential histogram: entries (n, hits, buckets, size), the oldest first.
+
+    An entry of size s stands for 2^s time buckets in a row; sizes never grow towards the new end, and there are at
+    most `per_size` of each. Where the means of two sides of some entry's end lie too far apart, old entries are
+    dropped until none do. With `per_size` above the series' length nothing is merged and every split is tested.
+    """
+
+    delta: float
+    min_side: int
+    per_size: int = PER_SIZE
+    entries: list[tuple[int, int, int, int]] = field(default_factory=list)
+
+    def add(self, n: int, hits: int) -> int:
+        """Take in the next time bucket; how many old ones were dropped."""
+        self.entries.append((n, hits, 1, 0))
+        size = 0
+        while sum(e[3] == size for e in self.entries) > self.per_size:
+            i = next(i for i, e in enumerate(self.entries) if e[3] == size)
+            a, b = self.entries[i : i + 2]
+            self.entries[i : i + 2] = [(a[0] + b[0], a[1] + b[1], a[2] + b[2], size + 1)]
+            size += 1
+        dropped = 0
+        while len(self.entries) > 1 and self.shifted():
+            dropped += self.entries.pop(0)[2]
+        return dropped
+
+    def shifted(self) -> bool:
+        counts = np.array([e[:2] for e in self.entries], dtype=np.float64)
+        return _cuts(counts[:, 0], counts[:, 1], self.delta, self.min_side)
+
+    def rate(self) -> float:
+        return sum(e[1] for e in self.entries) / max(1, sum(e[0] for e in self.entries))
+
+
+def drift_events(series: DataFrame, delta: float = 0.001, min_side: int = 5, per_size: int = PER_SIZE) -> DataFrame:
+    """One row per bucket at which a cohort's rate is found to have shifted. A null cohort is a cohort."""
+
+    def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cohort, window = object(), None  # cohorts come one after another, each in time order
+        for batch in batches:
+            found = []
+            for at, kind, n, hits in batch[["bucket_us", "cohort", "n", "anomalies"]].itertuples(index=False):
+                if kind != cohort:
+                    cohort, window = kind, Window(delta, min_side, per_size)
+                dropped = window.add(int(n), int(hits))
+                if dropped:
+                    message = (
+                        f"Anomaly rate distribution shift detected for cohort '{cohort}'. Baseline may need recalibration."
+                    )
+                    facts = {"dropped_buckets": str(dropped), "rate": f"{window.rate():.6f}"}
+                    found.append((cohort, "distribution_shift", message, facts, int(at)))
+            yield pd.DataFrame(found, columns=["cohort", "type", "message", "metadata", "bucket_us"])
+
+    lined = series.select("cohort", "bucket_us", "n", "anomalies").repartition("cohort").sortWithinPartitions("cohort", "bucket_us")
+    return lined.mapInPandas(detect, EVENTS)
 
 
 def active_cohorts(series: DataFrame) -> DataFrame:

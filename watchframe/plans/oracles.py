@@ -326,6 +326,37 @@ _SIZE = "(SELECT count(*) FROM (SELECT src FROM tr UNION SELECT dst FROM tr))"
 _PAIRS = "SELECT event_id, label_int, commands[i] AS src, commands[i + 1] AS dst FROM (SELECT event_id, label_int, commands, unnest(range(1, len(commands))) AS i FROM {t})"
 
 
+def _drift() -> str:
+    """The adaptive window as a recursion over a cohort's buckets: an entry is (n, h, c, s), the oldest first; merge where
+    six are of one size, test every end of an entry, drop the oldest while some test says so."""
+    at = "list_position(list_transform(w, lambda e: e.s), {s})"
+    one = f"struct_pack(n := w[{at}].n + w[{at} + 1].n, h := w[{at}].h + w[{at} + 1].h, c := w[{at}].c + w[{at} + 1].c, s := {{s}} + 1)"
+    merged = "SELECT k, b.i, list_append(w, struct_pack(n := b.n, h := b.h, c := 1::BIGINT, s := 0)) AS w FROM walk JOIN buckets b USING (k) WHERE NOT cut AND b.i = walk.i + 1"
+    for size in range(6):  # 5 * (1 + 2 + ... + 64) buckets fit
+        merge = f"CASE WHEN len(list_filter(w, lambda e: e.s = {{s}})) > 5 THEN list_concat(list_append(w[1 : {at} - 1], {one}), w[{at} + 2 :]) ELSE w END"
+        merged = f"SELECT k, i, {merge.replace('{s}', str(size))} AS w FROM ({merged})"
+    total = "list_sum(list_transform({w}, lambda e: e.{f}))::DOUBLE"
+    n0, h0, n1, h1 = (total.format(w=w, f=f) for w in ("w[1 : j]", "w[j + 1 :]") for f in ("n", "h"))
+    n, h = total.format(w="w", f="n"), total.format(w="w", f="h")
+    room = f"(1 / {n0} + 1 / {n1})"
+    bound = f"sqrt(2 * {room} * ({h} / {n}) * (1 - {h} / {n}) * ln(2 * ln({n}) / 0.001)) + {room} * ln(2 * ln({n}) / 0.001) * 2 / 3"
+    cut = f"len(w) > 1 AND len(list_filter(range(1, len(w)), lambda j: {n0} >= 5 AND {n1} >= 5 AND abs({h0} / {n0} - {h1} / {n1}) > {bound})) > 0"
+    return f"""{_LOG.replace("WITH base", "WITH RECURSIVE base", 1)},
+odd AS (SELECT entity_type AS k, us - us % {6 * HOUR_US} AS t0,
+  (label_int > 0 OR (ts >= TIMESTAMP '2024-01-16' AND ts < TIMESTAMP '2024-01-24' AND event_id % 2 = 0))::INT AS x FROM log),
+buckets AS (SELECT k, t0, row_number() OVER (PARTITION BY k ORDER BY t0) AS i, count(*)::BIGINT AS n, sum(x)::BIGINT AS h FROM odd GROUP BY k, t0),
+walk AS (
+  SELECT k, 1::BIGINT AS i, [struct_pack(n := n, h := h, c := 1::BIGINT, s := 0)] AS w, 0::BIGINT AS dropped, false AS cut FROM buckets WHERE i = 1
+  UNION ALL
+  SELECT k, i, w, dropped, {cut} AS cut FROM (
+    SELECT k, i, w[2 :] AS w, dropped + w[1].c AS dropped FROM walk WHERE cut
+    UNION ALL
+    SELECT k, i, w, 0 FROM ({merged})))
+SELECT k AS cohort, 'distribution_shift' AS type, 'Anomaly rate distribution shift detected for cohort ' || chr(39) || k || chr(39) || '. Baseline may need recalibration.' AS message,
+  t0 AS bucket_us, dropped, printf('%.6f', {h} / {n}) AS rate
+FROM walk JOIN buckets USING (k, i) WHERE dropped > 0 AND NOT cut"""
+
+
 def oracles() -> dict[str, str]:
     ruled = _LOG + _RULES
     hits = ruled + _HITS
@@ -454,6 +485,7 @@ def oracles() -> dict[str, str]:
         )
         + " FROM x) SELECT feature, round(mean, 4) AS mean FROM (UNPIVOT m ON COLUMNS(*) INTO NAME feature VALUE mean)",
         "drift_buckets": f"{_LOG} SELECT entity_type AS cohort, us - us % {6 * HOUR_US} AS bucket_us, count(*) AS n, sum((label_int > 0)::INT)::BIGINT AS anomalies FROM log GROUP BY 1, 2",
+        "drift_events": _drift(),
         "drift_reset": f"{_LOG}, b AS (SELECT entity_type AS cohort, us - us % {6 * HOUR_US} AS bucket_us, count(*) AS n FROM log GROUP BY 1, 2)"
         f" SELECT cohort, sum(n)::BIGINT AS n, count(*) AS buckets FROM b WHERE cohort <> 'user' OR bucket_us >= (SELECT min(bucket_us) FROM b WHERE cohort = 'user') + {15 * DAY_US} GROUP BY 1",
         "stream_previous_event": f"{_LOG} SELECT CAST(event_id AS VARCHAR) AS event_id, coalesce(lag(us) OVER ({_E}), 0) AS prev_us, coalesce(lag(device) OVER ({_E}), '') AS prev_device FROM log",

@@ -760,7 +760,14 @@ def drift_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def drift_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.drift_events(_series(spark, sf_dir)).select("cohort", "type", "message", "bucket_us")
+    """At the default delta. The sample's rate is steady, so the query plants a shift in its events: from the 16th day on
+    every other event counts as anomalous, and from the 24th day on none of these."""
+    log = _prepared(spark, sf_dir)
+    day = F.date_diff(F.timestamp_micros("ts_us"), F.lit("2024-01-01"))
+    odd = (F.col("label_int") > 0) | (day.between(15, 22) & (F.col("event_id") % 2 == 0))
+    found = drift.drift_events(drift.buckets(log, odd, 6 * HOUR_US))
+    dropped = F.col("metadata")["dropped_buckets"].cast("long").alias("dropped")
+    return found.select("cohort", "type", "message", "bucket_us", dropped, F.col("metadata")["rate"].alias("rate"))
 
 
 @query
@@ -783,15 +790,17 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_previous_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = stateful.drained(stateful.with_previous(_stream(spark, sf_dir)))
-    return df.select("event_id", F.coalesce("prev_us", F.lit(0)).alias("prev_us"), F.coalesce("prev_device", F.lit("")).alias("prev_device"))
+    path = scratch_path(spark, "previous")
+    stateful.start_previous(_stream(spark, sf_dir), path).awaitTermination()
+    df = stateful.PreviousSink(path).rows(spark)
+    return df.select(F.col("event_id").cast("string").alias("event_id"), F.coalesce("prev_us", F.lit(0)).alias("prev_us"), F.coalesce("prev_device", F.lit("")).alias("prev_device"))
 
 
 @query
 def stream_failure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sliding counts per address, windows that are still open at the end included."""
-    windows = stateful.failure_counts(_stream(spark, sf_dir), "source_ip", "2 days", "12 hours", "1 hour")
-    df = stateful.drained_windows(windows, "source_ip")
+    panes = stateful.failure_panes(_stream(spark, sf_dir), "source_ip", "12 hours", "1 hour")
+    df = stateful.failure_counts(stateful.drained_windows(panes, "source_ip", "entity_id"), "source_ip", "2 days", "12 hours")
     return df.select(F.unix_seconds("window.start").alias("window_start"), "source_ip", "events", "failures", "targets")
 
 

@@ -1,79 +1,78 @@
 """Streaming forms of the ordered operators.
 
-State is bounded: the last event per entity, counters per open window, or a stored baseline per key.
+State is bounded: the last event per entity, counters per open pane and entity, or a stored baseline per key.
 Batch twins of each are in `operators`; tests hold the two against each other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from watchframe.operators import baseline
-from watchframe.session import scratch_path
+from watchframe.operators import baseline, rules
+from watchframe.operators.carried import compacted, resumed
+from watchframe.operators.scans import Spec
+from watchframe.session import materialize, scratch_path
 
-PREVIOUS = "event_id string, entity_id string, ts_us bigint, prev_us bigint, prev_lat double, prev_lon double, prev_device string"
+def _previous() -> Spec:
+    return Spec(want=rules.previous_event(), inputs=frozenset({"ts_us", "geo_lat", "geo_lon", "device"}))
 
 
-def with_previous(stream: DataFrame, timeout_ms: int | None = None) -> DataFrame:
-    """The previous event's time, place and device for each event of a prepared stream.
+class PreviousSink:
+    """foreachBatch body: gives each event the time, place and device of its entity's previous one.
 
-    One small state row per entity. An entity's events of one micro-batch are ordered by (ts_us, event_id)
-    in memory, so the source's rate limit (such as `maxFilesPerTrigger`) bounds them; across batches the
-    source must deliver them in time order. With `timeout_ms` the state of an
-    entity that stays silent that long is dropped.
+    A batch goes on where the stored last events of the batch before it end, on the roads of `scans`: hot entities are
+    split, and no Python runs. Rows and last events are written under the batch's own number, so that a batch
+    that is run again overwrites its output with the same. Batches must come in time order.
     """
 
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(batches)).sort_values(["ts_us", "event_id"])
-        before = pdf[["ts_us", "geo_lat", "geo_lon", "device"]].shift(1)
-        out = pd.DataFrame(
-            {
-                "event_id": pdf["event_id"].astype(str).to_numpy(),
-                "entity_id": key[0],
-                "ts_us": pdf["ts_us"].to_numpy(),
-                "prev_us": before["ts_us"].astype("Int64").to_numpy(),
-                "prev_lat": before["geo_lat"].to_numpy(),
-                "prev_lon": before["geo_lon"].to_numpy(),
-                "prev_device": before["device"].to_numpy(),
-            }
-        )
-        if state.exists:
-            out.loc[0, ["prev_us", "prev_lat", "prev_lon", "prev_device"]] = list(state.get)
-        end = pdf.iloc[-1]
-        state.update((int(end["ts_us"]), float(end["geo_lat"]), float(end["geo_lon"]), str(end["device"])))
-        if timeout_ms:
-            state.setTimeoutDuration(timeout_ms)
-        yield out
-
-    slim = stream.select("event_id", "entity_id", "ts_us", "geo_lat", "geo_lon", "device")
-    return slim.groupBy("entity_id").applyInPandasWithState(
-        follow,
-        PREVIOUS,
-        "ts_us bigint, lat double, lon double, device string",
-        "append",
-        "ProcessingTimeTimeout" if timeout_ms else "NoTimeout",
-    )
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        spec = _previous()
+        kept = sorted(spec.inputs | {"event_id", "entity_id"})
+        rows = materialize(df.select(*kept), "batch")
+        old = spark.read.schema(rows.schema).parquet(f"{self.path}/state/batch={batch - 1}") if batch else None
+        resumed(spec, rows, "entity_id", old).write.mode("overwrite").parquet(f"{self.path}/out/batch={batch}")
+        end = rows.agg(F.max("ts_us")).first()[0] or 0
+        last = compacted(spec, rows, "entity_id", old, end).select(rows.columns)
+        last.write.mode("overwrite").parquet(f"{self.path}/state/batch={batch}")
+
+    def rows(self, spark) -> DataFrame:
+        return spark.read.option("basePath", f"{self.path}/out").parquet(f"{self.path}/out").drop("batch")
+
+
+def start_previous(stream: DataFrame, path: str, **trigger: Any) -> StreamingQuery:
+    """Run `PreviousSink` on a prepared stream."""
+    writer = stream.writeStream.foreachBatch(PreviousSink(path)).option("checkpointLocation", f"{path}/checkpoint")
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def failure_panes(stream: DataFrame, key: str, slide: str, late: str) -> DataFrame:
+    """Events and failures per key, entity and pane: the tumbling windows of which sliding ones consist.
+
+    A row of state is two counts. No row holds a set: an entity of a key and pane is a row of its own.
+    """
+    panes = stream.withWatermark("timestamp", late).groupBy(F.window("timestamp", slide), key, "entity_id")
+    return panes.agg(F.count("*").alias("events"), F.sum("failed").cast("long").alias("failures"))
 
 
-def failure_counts(stream: DataFrame, key: str, width: str, slide: str, late: str) -> DataFrame:
-    """Events, failures and distinct entities per key and sliding window; closed by the watermark.
+def failure_counts(panes: DataFrame, key: str, width: str, slide: str) -> DataFrame:
+    """Events, failures and distinct entities per key and sliding window, from panes; `width` is a multiple of `slide`.
 
-    The entities of a key's open windows are the state: at most as many as there are entities.
+    The second of two aggregations: panes of an entity become its windows, and then the entities of a window are counted.
     """
-    windows = stream.withWatermark("timestamp", late).groupBy(F.window("timestamp", width, slide), key)
-    return windows.agg(
-        F.count("*").alias("events"),
-        F.sum("failed").cast("long").alias("failures"),
-        F.size(F.collect_set("entity_id")).cast("long").alias("targets"),
+    start = F.window("_at", width, slide)
+    rows = panes.withColumn("_at", F.col("window.start")).drop("window").withColumn("window", start)
+    entities = rows.groupBy("window", key, "entity_id").agg(F.sum("events").alias("events"), F.sum("failures").alias("failures"))
+    return entities.groupBy("window", key).agg(
+        F.sum("events").alias("events"), F.sum("failures").alias("failures"), F.count("*").alias("targets")
     )
 
 
