@@ -123,7 +123,7 @@ def narration(predicted: Column, risk: Column, top: Column, hits: Column) -> Col
         lambda t: F.format_string(
             "  • %s: %+.3f (%s)",
             t["feature"],
-            t["value"],
+            F.bround(t["value"], 3),  # halves to even, as in the other texts
             F.when(t["value"] > 0, "↑ increases risk").otherwise("↓ decreases risk"),
         ),
     )

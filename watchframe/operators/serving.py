@@ -37,6 +37,15 @@ def triage_queue(scored: DataFrame, limit: int = 100, only: str | None = None, r
     )
 
 
+def around_entity(log: DataFrame, entity_id: str, span_us: int) -> DataFrame:
+    """The rows of a prepared log that the rules of one entity's events can read: its own, and those on its addresses
+    from `span_us` before its first event there to its last one. The filters reach the scan; the addresses are few."""
+    own = log.where(F.col("entity_id") == entity_id)
+    seen = own.groupBy(F.col("source_ip").alias("_ip")).agg(F.min("ts_us").alias("_from"), F.max("ts_us").alias("_to"))
+    near = F.col("ts_us").between(F.col("_from") - span_us, F.col("_to"))
+    return log.join(seen, (F.col("source_ip") == F.col("_ip")) & near, "left_semi")
+
+
 def entity_timeline(ruled: DataFrame, entity_id: str) -> DataFrame:
     """One entity's events in time order with the rules they tripped."""
     return (

@@ -357,6 +357,23 @@ SELECT k AS cohort, 'distribution_shift' AS type, 'Anomaly rate distribution shi
 FROM walk JOIN buckets USING (k, i) WHERE dropped > 0 AND NOT cut"""
 
 
+def _narrations(hits: str) -> str:
+    line = "concat('  • ', f, ': ', printf('%+.3f', v), ' (', CASE WHEN v > 0 THEN '↑ increases risk' ELSE '↓ decreases risk' END, ')')"
+    trace = "concat('  ⚡ ', rule, ': ', detail, chr(10), '     MITRE ATT&CK: ', mitre)"
+    return f"""{hits},
+named AS (SELECT event_id, floor(risk)::DOUBLE AS risk, {_names('pred')} AS label FROM log),
+parts AS (SELECT event_id, unnest([1, 2, 3]) AS i, unnest(['bytes_transferred_raw', 'hour_sin', 'auth_failure_rate']) AS f,
+  unnest([event_id % 64 / 16.0::DOUBLE - 2, 1 - event_id % 64 / 32.0::DOUBLE, event_id % 64 % 4 / 4.0::DOUBLE - 0.5::DOUBLE]) AS v FROM log),
+top AS (SELECT event_id, string_agg({line}, chr(10) ORDER BY r) AS factors
+  FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY abs(v) DESC, i) AS r FROM parts) WHERE r <= 2 GROUP BY event_id),
+traces AS (SELECT event_id, string_agg({trace}, chr(10) ORDER BY pos) AS trace FROM hits GROUP BY event_id)
+SELECT event_id, concat(CASE WHEN risk >= 90 THEN '🔴 CRITICAL' WHEN risk >= 70 THEN '🟠 HIGH' WHEN risk >= 50 THEN '🟡 MEDIUM' ELSE '🟢 LOW' END,
+  ' — ', replace(upper(label), '_', ' '), printf(' (risk %.0f/100)', risk), chr(10), chr(10), 'Contributing factors:', chr(10), factors,
+  CASE WHEN trace IS NOT NULL THEN concat(chr(10), chr(10), 'Rule engine detections:', chr(10), trace)
+    WHEN {_mitre('label')} <> '' THEN concat(chr(10), chr(10), 'MITRE ATT&CK: ', {_mitre('label')}) ELSE '' END) AS text
+FROM named JOIN top USING (event_id) LEFT JOIN traces USING (event_id)"""
+
+
 def oracles() -> dict[str, str]:
     ruled = _LOG + _RULES
     hits = ruled + _HITS
@@ -486,6 +503,14 @@ def oracles() -> dict[str, str]:
         + " FROM x) SELECT feature, round(mean, 4) AS mean FROM (UNPIVOT m ON COLUMNS(*) INTO NAME feature VALUE mean)",
         "drift_buckets": f"{_LOG} SELECT entity_type AS cohort, us - us % {6 * HOUR_US} AS bucket_us, count(*) AS n, sum((label_int > 0)::INT)::BIGINT AS anomalies FROM log GROUP BY 1, 2",
         "drift_events": _drift(),
+        "label_file": f"{_LOG} SELECT event_id::VARCHAR AS event_id, {_names('label_int')} AS label, label_int::BIGINT AS label_int FROM log",
+        "contamination_flags": f"{_LOG}, c AS (SELECT quantile_cont(risk, 0.98) AS cut FROM log) SELECT event_id, round(cut, 9) AS cut, (risk > cut)::BIGINT AS flag FROM log, c",
+        "joint_labels": f"{_LOG}, p AS (SELECT event_id, risk, list_prepend(1 - risk / 100, list_transform(range(0, 7), lambda i: risk / 100 * CASE WHEN (event_id % 7 + i) % 3 = 0 THEN 0.25::DOUBLE ELSE 0.125::DOUBLE END)) AS p FROM log),"
+        " q AS (SELECT *, list_position(p, list_max(p)) - 1 AS best FROM p)"
+        f" SELECT event_id, round(greatest(0.0, risk / 100 * 100), 6) AS risk, round(list_sum(p) + 1e-9, 6) AS total, best::BIGINT AS predicted_int, {_names('best')} AS predicted FROM q",
+        "narrations": _narrations(hits),
+        "unused_resource_pairs": f"{_LOG} SELECT e.entity_id, c.resource AS resource_accessed FROM (SELECT DISTINCT entity_id FROM log) e, (SELECT DISTINCT resource FROM log) c"
+        " WHERE NOT EXISTS (SELECT 1 FROM log l WHERE l.entity_id = e.entity_id AND l.resource = c.resource)",
         "drift_reset": f"{_LOG}, b AS (SELECT entity_type AS cohort, us - us % {6 * HOUR_US} AS bucket_us, count(*) AS n FROM log GROUP BY 1, 2)"
         f" SELECT cohort, sum(n)::BIGINT AS n, count(*) AS buckets FROM b WHERE cohort <> 'user' OR bucket_us >= (SELECT min(bucket_us) FROM b WHERE cohort = 'user') + {15 * DAY_US} GROUP BY 1",
         "stream_previous_event": f"{_LOG} SELECT CAST(event_id AS VARCHAR) AS event_id, coalesce(lag(us) OVER ({_E}), 0) AS prev_us, coalesce(lag(device) OVER ({_E}), '') AS prev_device FROM log",

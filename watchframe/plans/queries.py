@@ -22,6 +22,7 @@ from watchframe.operators import (
     profile,
     quality,
     rules,
+    selection,
     sequence,
     serving,
 )
@@ -246,12 +247,11 @@ def score_second_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The days after the twentieth, scored as a log of their own on the stored state that the days before left."""
     s = detect.Settings(thresholds=THRESHOLDS)
     log = _log(spark, sf_dir)
-    cut = F.date_trunc("day", F.min("timestamp")) + F.expr("INTERVAL 20 DAYS")
-    whole = materialize(log.crossJoin(F.broadcast(log.agg(cut.alias("_cut")))), "log")  # one row beside each
-    _, carried = detect.process(whole.where("timestamp < _cut").drop("_cut"), s)
+    cut = log.agg(F.date_trunc("day", F.min("timestamp")) + F.expr("INTERVAL 20 DAYS")).scalar()
+    _, carried = detect.process(log.where(F.col("timestamp") < cut), s)
     path = scratch_path(spark, "carried")
     carried.save(path)
-    df, _ = detect.process(whole.where("timestamp >= _cut").drop("_cut"), s, detect.load_carried(spark, path))
+    df, _ = detect.process(log.where(F.col("timestamp") >= cut), s, detect.load_carried(spark, path))
     scored = {*_ZSCORES, "entity_maturity_weight", "is_cold_start"}
     return _rows_and_hits(df, [*_rounded_features([c for c in FEATURES if c not in scored]), *_scores()])
 
@@ -359,6 +359,16 @@ def label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", "label", F.col("label_int").cast("long").alias("label_int"), F.col("is_attack").cast("long").alias("is_attack"))
 
 
+@query
+def label_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels from a file of their own, as a log and its labels are delivered."""
+    log = _log(spark, sf_dir).withColumn("label", int_to_label(F.col("label_int")))
+    path = scratch_path(spark, "labels")
+    log.select("event_id", "label").write.option("header", True).csv(path)
+    found = labels.encode_labels(labels.join_labels(log.drop("label", "label_int").withColumn("event_id", F.col("event_id").cast("string")), files.read_labels(spark, path)))
+    return found.select("event_id", "label", F.col("label_int").cast("long").alias("label_int"))
+
+
 @query
 def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.label_distribution(_log(spark, sf_dir)).select("label", "n", _r("pct", 4))
@@ -574,8 +584,9 @@ def triage_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def entity_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One entity's timeline. Rules look at other entities on the same address, so they see the whole log."""
-    df = serving.entity_timeline(rules.with_rules(_log(spark, sf_dir), THRESHOLDS), "7")
+    """One entity's timeline. Rules look at other entities on the same addresses; only rows they can read go through them."""
+    near = serving.around_entity(_prepared(spark, sf_dir), "7", THRESHOLDS.stuffing_minutes * 60_000_000)
+    df = serving.entity_timeline(rules.with_rules(near, THRESHOLDS), "7")
     return df.withColumn("anomalous", F.col("anomalous").cast("long"))
 
 
@@ -589,6 +600,12 @@ def recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.recent_events(_log(spark, sf_dir)).select("event_id", "entity_id", _r("risk_stub", 4))
 
 
+@query
+def unused_resource_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _log(spark, sf_dir)
+    return labels.unused_pairs(log, log)
+
+
 @query
 def unused_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _log(spark, sf_dir)
@@ -726,6 +743,35 @@ def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", "text", "mitre", _r("risk_score", 4), "predicted_type")
 
 
+@query
+def contamination_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which risks lie above the exact 98th percentile."""
+    log = _log(spark, sf_dir)
+    cut = selection.quantile(log, "risk_stub", 0.98)
+    return log.select("event_id", F.lit(round(cut, 9)).alias("cut"), (F.col("risk_stub") > cut).cast("long").alias("flag"))
+
+
+@query
+def joint_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk, joint probabilities and label from the chance of an attack and the shares of its kinds; many shares tie."""
+    k = F.col("event_id") % 7
+    kinds = F.array(*[F.when((k + i) % 3 == 0, 0.25).otherwise(0.125) for i in range(fusion.ATTACKS)])
+    df = fusion.fused(_log(spark, sf_dir), F.col("risk_stub") / 100, kinds)
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, p: a + p)
+    return df.select("event_id", _r("risk", 6), F.round(total + 1e-9, 6).alias("total"), F.col("predicted_int").cast("long").alias("predicted_int"), "predicted")
+
+
+@query
+def narrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analyst's text of every event, from contributions that are exact in binary and tie often."""
+    k = F.col("event_id") % 64
+    values = [("bytes_transferred_raw", k / 16 - 2), ("hour_sin", 1 - k / 32), ("auth_failure_rate", (k % 4) / 4 - 0.5)]
+    parts = F.array(*[F.struct(F.lit(n).alias("feature"), v.cast("double").alias("value")) for n, v in values])
+    log = rules.with_rules(_log(spark, sf_dir), THRESHOLDS)
+    text = explain.narration(int_to_label(F.col("pred_stub")), F.floor("risk_stub").cast("double"), explain.top_features(parts, 2), F.col("rule_hits"))
+    return log.select("event_id", text.alias("text"))
+
+
 @query
 def clean_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model input without null, NaN or infinity, as a sum over the columns."""
