@@ -142,12 +142,14 @@ def test_contributions_against_all_subsets():
             return expected(x, known, left if x[f] <= cut else right)
         return sum(nodes[c]["rawCount"] / n["rawCount"] * expected(x, known, c) for c in (left, right))
 
-    leaves = explain._leaves(pd.DataFrame({"nodeData": tree}), 1.0)
+    leaves = explain._leaves(pd.DataFrame({"nodeData": tree}), lambda n: n["prediction"])
     x = np.array([[0.1, 0.9, 7.0], [0.7, 0.2, 7.0], [0.9, 0.5, 7.0], [0.5, 0.5, 7.0]])
     got = explain._contributions(leaves, x)
     for row, phi in zip(x, got):
         assert phi == pytest.approx(shapley(lambda s: expected(row, s), 3))
     assert explain.base_value(leaves) == pytest.approx(expected(x[0], set()))
+    both = explain._leaves(pd.DataFrame({"nodeData": tree}), lambda n: np.array([n["prediction"], -2 * n["prediction"]]))
+    assert explain._contributions(both, x, np.array([0, 1, 1, 0])) == pytest.approx(got * np.array([[1], [-2], [-2], [1]]))
 
 
 @pytest.fixture(scope="module")
@@ -211,6 +213,15 @@ def test_end_to_end(spark, labelled, tmp_path):
         sizes = [abs(v.value) for v in t.top_features]
         assert len(sizes) == 5 and sizes == sorted(sizes, reverse=True)
         assert t.text.splitlines()[2] == "Contributing factors:"
+    kinds = explain.base_value(explain.attribution_leaves(detector.fusion, spark))
+    assert sum(kinds) == pytest.approx(1.0)
+    alerts = explain.with_contributions(scored.where("risk >= 50"), detector.fusion).select("probabilities", "predicted_int", "kind_values").collect()
+    for r in alerts:
+        if not r.predicted_int:
+            assert r.kind_values is None
+            continue
+        share = r.probabilities[r.predicted_int] / (1 - r.probabilities[0])
+        assert kinds[r.predicted_int - 1] + sum(v.value for v in r.kind_values) == pytest.approx(share)
 
 
 def test_narration(spark):

@@ -1,38 +1,41 @@
-"""Why an alert was raised: feature contributions on the gate's log-odds, and a text for the analyst.
+"""Why an alert was raised: feature contributions, and a text for the analyst.
 
-Contributions are path-dependent tree SHAP values (Lundberg et al. 2018). The gate's trees are read from
-its saved form, turned into leaf boxes on the driver (trees times leaves, bounded by the model's
+Contributions are path-dependent tree SHAP values (Lundberg et al. 2018): to the gate's log-odds, which is why the
+risk is high, and to the share of the predicted kind of attack in the attribution forest, which is why it is that kind. The trees are
+read from their saved form, turned into leaf boxes on the driver (trees times leaves, bounded by the models'
 parameters) and sent to the tasks, which handle alert rows in Arrow batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from math import factorial
-from typing import NamedTuple
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any, NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchframe.operators.fusion import FusionModel
+from watchframe.operators.fusion import ATTACKS, FusionModel
 from watchframe.operators.outliers import matrix
 from watchframe.schema import mitre_of, severity
 from watchframe.session import scratch_path
 
 
 class Leaf(NamedTuple):
-    """A leaf as a box: for each feature on its path the interval (low, high] and the share of rows kept."""
+    """A leaf as a box: for each feature on its path the interval (low, high] and the share of rows kept.
 
-    value: float
+    `value` is a number, or an array of one number per class.
+    """
+
+    value: float | np.ndarray
     features: np.ndarray
     low: np.ndarray
     high: np.ndarray
     share: np.ndarray
 
 
-def _leaves(nodes: pd.DataFrame, weight: float) -> list[Leaf]:
+def _leaves(nodes: pd.DataFrame, value: Callable[[dict], float | np.ndarray]) -> list[Leaf]:
     """Boxes of one tree; several splits on one feature become one interval."""
     rows = {n["id"]: n for n in nodes["nodeData"]}
     out = []
@@ -43,7 +46,7 @@ def _leaves(nodes: pd.DataFrame, weight: float) -> list[Leaf]:
         if node["leftChild"] < 0:
             f = list(box)
             parts = np.array([box[i] for i in f]).reshape(len(f), 3)
-            out.append(Leaf(weight * node["prediction"], np.array(f, dtype=int), parts[:, 0], parts[:, 1], parts[:, 2]))
+            out.append(Leaf(value(node), np.array(f, dtype=int), parts[:, 0], parts[:, 1], parts[:, 2]))
             continue
         feature, cut = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
         low, high, share = box.get(feature, (-np.inf, np.inf, 1.0))
@@ -53,58 +56,102 @@ def _leaves(nodes: pd.DataFrame, weight: float) -> list[Leaf]:
     return out
 
 
-def _contributions(leaves: Sequence[Leaf], x: np.ndarray) -> np.ndarray:
-    """Shapley value of every column for every row, summed over leaves."""
+def _reaches(inside: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """[row, feature]: the mean, over orders of the features, of the chance to reach a leaf without the feature.
+
+    The path is extended by one feature after another, which keeps for each number of known features the weight of all
+    sets of that size, and each feature is unwound from the whole again: quadratic in the path's length.
+    """
+    n, d = inside.shape
+    weight = np.zeros((d + 1, n))
+    weight[0] = 1.0
+    for k in range(d):  # k features are on the path already
+        for size in range(k, -1, -1):
+            weight[size + 1] += inside[:, k] * weight[size] * (size + 1) / (k + 2)
+            weight[size] *= share[k] * (k + 1 - size) / (k + 2)
+    out = np.zeros((n, d))
+    for i in range(d):
+        known, rest = inside[:, i] > 0, weight[d]
+        for size in range(d - 1, -1, -1):
+            if_known = rest * (d + 1) / (size + 1)
+            if_not = weight[size] * (d + 1) / (share[i] * (d - size))
+            out[:, i] += np.where(known, if_known, if_not)
+            rest = weight[size] - if_known * share[i] * (d - size) / (d + 1)
+    return out
+
+
+def _contributions(leaves: Sequence[Leaf], x: np.ndarray, kind: np.ndarray | None = None) -> np.ndarray:
+    """Shapley value of every column for every row, summed over leaves; of the row's class where leaves have several."""
     phi = np.zeros(x.shape)
     for leaf in leaves:
-        d = len(leaf.features)
+        if not len(leaf.features):
+            continue
         part = x[:, leaf.features]
         inside = ((part > leaf.low) & (part <= leaf.high)).astype(float)
-        sizes = [factorial(k) * factorial(d - k - 1) / factorial(d) for k in range(d)]
-        for i, feature in enumerate(leaf.features):
-            # ways[k]: sum over sets of k other known features of the chance to reach the leaf
-            ways = [np.ones(len(x))]
-            for j in range(d):
-                if j == i:
-                    continue
-                longer = [w * leaf.share[j] for w in ways] + [np.zeros(len(x))]
-                for k, w in enumerate(ways):
-                    longer[k + 1] = longer[k + 1] + w * inside[:, j]
-                ways = longer
-            reach = sum(s * w for s, w in zip(sizes, ways))
-            phi[:, feature] += leaf.value * (inside[:, i] - leaf.share[i]) * reach
+        value = leaf.value if kind is None else leaf.value[kind][:, None]
+        phi[:, leaf.features] += value * (inside - leaf.share) * _reaches(inside, leaf.share)
     return phi
 
 
-def base_value(leaves: Sequence[Leaf]) -> float:
-    """Log-odds before any feature is known."""
-    return float(sum(leaf.value * leaf.share.prod() for leaf in leaves))
+def base_value(leaves: Sequence[Leaf]) -> float | np.ndarray:
+    """Log-odds, or share of each class, before any feature is known."""
+    total = sum(leaf.value * leaf.share.prod() for leaf in leaves)
+    return total if isinstance(total, np.ndarray) else float(total)
+
+
+def _trees(saved: Any, spark, name: str) -> pd.DataFrame:
+    path = scratch_path(spark, name)
+    saved.write().save(path)
+    return spark.read.parquet(f"{path}/data").toPandas()  # at most trees * 2 ** (depth + 1) rows
 
 
 def gate_leaves(model: FusionModel, spark) -> list[Leaf]:
     """All leaf boxes of the gate, valued in log-odds (its margin counts half)."""
-    path = scratch_path(spark, "gate")
-    model.gate.write().save(path)
-    trees = spark.read.parquet(f"{path}/data").toPandas()  # at most trees * 2 ** (depth + 1) rows
     weights = model.gate.treeWeights
-    return [leaf for tree, nodes in trees.groupby("treeID") for leaf in _leaves(nodes, 2 * weights[tree])]
+    trees = _trees(model.gate, spark, "gate").groupby("treeID")
+    return [leaf for tree, nodes in trees for leaf in _leaves(nodes, lambda n, w=2 * weights[tree]: w * n["prediction"])]
+
+
+def attribution_leaves(model: FusionModel, spark) -> list[Leaf]:
+    """All leaf boxes of the attribution forest, valued in shares of each kind of attack, which add up over the trees."""
+    n = model.attribution.getNumTrees
+
+    def shares(node: dict) -> np.ndarray:
+        counts = np.zeros(ATTACKS)
+        counts[: len(node["impurityStats"])] = node["impurityStats"]
+        return counts / counts.sum() / n
+
+    trees = _trees(model.attribution, spark, "attribution").groupby("treeID")
+    return [leaf for _, nodes in trees for leaf in _leaves(nodes, shares)]
 
 
 def with_contributions(alerts: DataFrame, model: FusionModel) -> DataFrame:
-    """Add `shap_values`: array<struct<feature, value>> in column order."""
+    """Add `shap_values` (to the gate's log-odds) and `kind_values` (to the share of the predicted kind among attacks,
+    null where none is predicted): array<struct<feature, value>> in column order."""
     spark = alerts.sparkSession
-    leaves = spark.sparkContext.broadcast([tuple(leaf) for leaf in gate_leaves(model, spark)])
+    gate = spark.sparkContext.broadcast([tuple(leaf) for leaf in gate_leaves(model, spark)])
+    forest = spark.sparkContext.broadcast([tuple(leaf) for leaf in attribution_leaves(model, spark)])
     width = len(model.columns)
 
+    def rows(batch: pd.Series) -> np.ndarray:
+        return np.stack(batch.to_numpy()) if len(batch) else np.zeros((0, width))
+
     @F.pandas_udf("array<double>")
     def explain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            x = np.stack(batch.to_numpy()) if len(batch) else np.zeros((0, width))
-            yield pd.Series(list(_contributions([Leaf(*leaf) for leaf in leaves.value], x)))
+            yield pd.Series(list(_contributions([Leaf(*leaf) for leaf in gate.value], rows(batch))))
+
+    @F.pandas_udf("array<double>")
+    def explain_kind(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for batch, predicted in batches:
+            kind = np.maximum(predicted.to_numpy().astype(int) - 1, 0)
+            yield pd.Series(list(_contributions([Leaf(*leaf) for leaf in forest.value], rows(batch), kind)))
 
     names = F.array(*[F.lit(c) for c in model.columns])
-    pair = F.zip_with(names, explain(matrix(model.columns)), lambda f, v: F.struct(f.alias("feature"), v.alias("value")))
-    return alerts.withColumn("shap_values", pair)
+    named = lambda values: F.zip_with(names, values, lambda f, v: F.struct(f.alias("feature"), v.alias("value")))
+    x = matrix(model.columns)
+    out = alerts.withColumn("shap_values", named(explain(x))).withColumn("_kind", explain_kind(x, F.coalesce("predicted_int", F.lit(0))))
+    return out.withColumn("kind_values", F.when(F.col("predicted_int") > 0, named(F.col("_kind")))).drop("_kind")
 
 
 def top_features(values: Column, k: int = 5) -> Column:
@@ -152,6 +199,7 @@ def explanations(
         text.alias("text"),
         "shap_values",
         "top_features",
+        top_features(F.col("kind_values"), top_k).alias("kind_features"),
         F.col("rule_hits").alias("rule_trace"),
         mitre_of(F.col("predicted")).alias("mitre"),
         F.col("risk").alias("risk_score"),

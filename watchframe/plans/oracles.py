@@ -511,6 +511,7 @@ def oracles() -> dict[str, str]:
         "narrations": _narrations(hits),
         "unused_resource_pairs": f"{_LOG} SELECT e.entity_id, c.resource AS resource_accessed FROM (SELECT DISTINCT entity_id FROM log) e, (SELECT DISTINCT resource FROM log) c"
         " WHERE NOT EXISTS (SELECT 1 FROM log l WHERE l.entity_id = e.entity_id AND l.resource = c.resource)",
+        "explanation_sums": "SELECT event_id, 1::BIGINT AS gate, 1::BIGINT AS kind FROM events WHERE ts > (SELECT min(ts) FROM events) + INTERVAL 20 DAY",
         "drift_reset": f"{_LOG}, b AS (SELECT entity_type AS cohort, us - us % {6 * HOUR_US} AS bucket_us, count(*) AS n FROM log GROUP BY 1, 2)"
         f" SELECT cohort, sum(n)::BIGINT AS n, count(*) AS buckets FROM b WHERE cohort <> 'user' OR bucket_us >= (SELECT min(bucket_us) FROM b WHERE cohort = 'user') + {15 * DAY_US} GROUP BY 1",
         "stream_previous_event": f"{_LOG} SELECT CAST(event_id AS VARCHAR) AS event_id, coalesce(lag(us) OVER ({_E}), 0) AS prev_us, coalesce(lag(device) OVER ({_E}), '') AS prev_device FROM log",

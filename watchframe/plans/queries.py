@@ -772,6 +772,21 @@ def narrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("event_id", text.alias("text"))
 
 
+@query
+def explanation_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every scored event, whether its contributions and the base add up to what the models say of it."""
+    detector, scored, _ = _run(spark, sf_dir)
+    rows = explain.with_contributions(scored, detector.fusion)
+    gate, kinds = (explain.base_value(f(detector.fusion, spark)) for f in (explain.gate_leaves, explain.attribution_leaves))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v["value"])
+    attack = 1 - F.col("probabilities")[0]
+    of_gate = F.abs(1 / (1 + F.exp(-(total("shap_values") + gate))) - attack) < 1e-6
+    share = F.try_divide(F.element_at("probabilities", F.col("predicted_int") + 1), attack)
+    base = F.element_at(F.array(*[F.lit(float(x)) for x in kinds]), F.greatest("predicted_int", F.lit(1)))
+    of_kind = F.when(F.col("predicted_int") > 0, F.abs(total("kind_values") + base - share) < 1e-6).otherwise(F.col("kind_values").isNull())
+    return rows.select("event_id", of_gate.cast("long").alias("gate"), of_kind.cast("long").alias("kind"))
+
+
 @query
 def clean_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model input without null, NaN or infinity, as a sum over the columns."""
