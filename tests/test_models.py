@@ -289,3 +289,18 @@ def test_adaptive_window():
             assert sizes == sorted(sizes, reverse=True) and max(sizes.count(s) for s in sizes) <= 5
             assert [sum(c) for c in zip(*held)] == [sum(e[k] for e in window.entries) for k in (0, 1)] and len(held) == sum(e[2] for e in window.entries)
             assert len(window.entries) <= 6 * (1 + math.log2(i + 2))
+
+
+def test_surprise_in_the_row_equals_the_join(spark):
+    """On both roads: null and unknown commands, short sessions, repeated and null ids."""
+    sessions = [["a", "b", "a"], ["b", None, "a"], ["c"], [], None, ["z", "z"], ["a", "b", "c", "a", "b"]]
+    rows = spark.createDataFrame([(i % 4 or None, s) for i, s in enumerate(sessions * 3)], "event_id long, command_sequence array<string>")
+    model = sequence.fit(rows.limit(9))
+    near = sequence.with_surprise(rows, model).collect()
+    spark.conf.set("watchframe.rowLocalPairs", "0")
+    try:
+        far = sequence.with_surprise(rows, model).collect()
+    finally:
+        spark.conf.unset("watchframe.rowLocalPairs")
+    shown = lambda found: sorted((str(r.event_id), str(r.command_sequence), round(r.sequence_anomaly_score, 9)) for r in found)
+    assert shown(near) == shown(far) and len(near) == 21

@@ -445,7 +445,7 @@ def oracles() -> dict[str, str]:
         ),
         "command_decoding": f"SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat(event_id % 30 + 1, ',0') WHEN 1 THEN concat(event_id % 30 + 1, ',', list_position({vocabulary}, 'logout')) ELSE '' END AS ids FROM events",
         "markov_transitions": f"{_LOG}, p AS ({_PAIRS.format(t='log')}) SELECT src, dst, count(*) AS n FROM p WHERE label_int = 0 GROUP BY 1, 2",
-        "markov_surprise": f"{_LOG}, cut AS (SELECT * REPLACE (CASE WHEN event_id % 20 = 0 THEN commands[1:1] ELSE commands END AS commands) FROM log),"
+        "markov_surprise": f"{_LOG}, cut AS (FROM log),"
         f" tr AS (SELECT src, dst, count(*) AS n FROM ({_PAIRS.format(t='(SELECT * FROM log WHERE label_int = 0)')}) GROUP BY 1, 2),"
         f" q AS (SELECT event_id, src, dst FROM ({_PAIRS.format(t='cut')})),"
         f" lp AS (SELECT q.event_id, ln((coalesce(tr.n, 0) + 1e-5) / (coalesce((SELECT sum(n) FROM tr t WHERE t.src = q.src), 0) + 1e-5 * {_SIZE})) AS lp FROM q LEFT JOIN tr USING (src, dst))"
