@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from watchframe.operators import metrics
 
@@ -91,3 +92,24 @@ def test_report_and_summary(scored):
     report = metrics.metrics_report(scored([(1, 1, 90.0), (0, 0, 10.0), (0, 0, 20.0)]))
     row = metrics.report_summary(report).first().asDict()
     assert row == pytest.approx(dict.fromkeys(row, 1.0))
+
+
+def test_daily_sketches_add_up(spark, tmp_path):
+    """Distinct entities over overlapping days, within three standard errors by sketch and exactly beside it."""
+    rows = spark.range(40_000).select(
+        F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 13).alias("timestamp"),
+        F.concat(F.lit("e"), (F.col("id") * 7919 % 9000).cast("string")).alias("entity_id"),
+        F.when(F.col("id") % 3 == 0, "user").otherwise("edge_device").alias("entity_type"),
+        (F.col("id") % 50 == 0).cast("int").alias("label_int"),
+    )
+    metrics.daily_stats(rows).save(str(tmp_path))
+    daily = metrics.load_daily(spark, str(tmp_path))
+    want = rows.where(F.to_date("timestamp").between("2024-01-02", "2024-01-04"))
+    exact = daily.between("2024-01-02", "2024-01-04", exact=True).first()
+    close = daily.between("2024-01-02", "2024-01-04").first()
+    assert exact.events == close.events == want.count()
+    assert exact.entities == want.select("entity_id").distinct().count() and exact.service_accounts == 0
+    for c in ("entities", "users", "edge_devices"):
+        assert abs(close[c] - exact[c]) <= 3 * 1.04 / 2**6 * exact[c]
+    none = daily.between("2030-01-01", "2030-01-02", exact=True).first()
+    assert none.events is None and none.entities == 0

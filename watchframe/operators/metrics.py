@@ -6,12 +6,14 @@ metrics work on one row per distinct score, so equal scores are one step.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchframe.functions.scalars import utc_format
 from watchframe.operators.scans import Wanted, global_scan
-from watchframe.schema import LABELS, int_to_label
+from watchframe.schema import ENTITY_TYPES, LABELS, int_to_label
 
 CLASSES = range(len(LABELS))
 
@@ -209,3 +211,63 @@ def dataset_stats(df: DataFrame) -> DataFrame:
         (F.sum("attacks") * 100.0 / n).alias("attack_pct"),
         ((n - F.sum("attacks")) * 100.0 / n).alias("normal_pct"),
     )
+
+
+# ---- statistics that add up over days -------------------------------------------------------------
+
+#: log2 of a sketch's registers: a standard error of 1.04 / 2 ** 6 = 1.6 %, in 4 KiB a day and type.
+SKETCH_BITS = 12
+
+
+@dataclass(frozen=True)
+class DailyStats:
+    """Stored statistics of each day: counts and sketches by type, and beside them each day's entities for exact counts.
+
+    Days are added by appending, so a log is read once; any range of days is answered from these tables.
+    """
+
+    counts: DataFrame
+    entities: DataFrame
+
+    def save(self, path: str) -> None:
+        self.counts.write.mode("append").parquet(f"{path}/counts")
+        self.entities.write.mode("append").parquet(f"{path}/entities")
+
+    def between(self, first: str, last: str, exact: bool = False) -> DataFrame:
+        """One row for the days from `first` to `last`: as `dataset_stats`, entities by sketch or exactly."""
+        day = F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
+        n = F.sum("events")
+        row = self.counts.where(day).agg(
+            n.alias("events"),
+            self._estimate(F.lit(True)).alias("entities"),
+            *[self._estimate(F.col("entity_type") == kind).alias(f"{kind}s") for kind in ENTITY_TYPES],
+            F.date_format(F.min("day"), "yyyy-MM-dd").alias("first_day"),
+            F.date_format(F.max("day"), "yyyy-MM-dd").alias("last_day"),
+            (F.sum("attacks") * 100.0 / n).alias("attack_pct"),
+            ((n - F.sum("attacks")) * 100.0 / n).alias("normal_pct"),
+        )
+        if not exact:
+            return row
+        found = self.entities.where(day).groupBy("entity_type", "entity_id").agg(F.lit(1).alias("_one"))
+        counted = found.agg(
+            F.count_distinct("entity_id").alias("entities"), *[F.count_if(F.col("entity_type") == kind).alias(f"{kind}s") for kind in ENTITY_TYPES]
+        )
+        return row.withColumns({c: counted.select(c).scalar() for c in counted.columns})
+
+    @staticmethod
+    def _estimate(chosen: Column) -> Column:
+        merged = F.hll_union_agg(F.when(chosen, F.col("sketch")))
+        return F.coalesce(F.hll_sketch_estimate(merged), F.lit(0))
+
+
+def daily_stats(df: DataFrame) -> DailyStats:
+    """Statistics of a log's days. A null entity is counted in none of the distinct counts."""
+    rows = df.select(F.to_date("timestamp").alias("day"), "entity_type", "entity_id", _attack().alias("_attack"))
+    counts = rows.groupBy("day", "entity_type").agg(
+        F.count("*").alias("events"), F.sum("_attack").alias("attacks"), F.hll_sketch_agg("entity_id", SKETCH_BITS).alias("sketch")
+    )
+    return DailyStats(counts, rows.select("day", "entity_type", "entity_id").distinct())
+
+
+def load_daily(spark: SparkSession, path: str) -> DailyStats:
+    return DailyStats(spark.read.parquet(f"{path}/counts"), spark.read.parquet(f"{path}/entities"))

@@ -421,6 +421,9 @@ def oracles() -> dict[str, str]:
         "label_join": f"{_LOG}, h AS (SELECT event_id, label_int, CASE WHEN event_id % 7 = 0 THEN 'other' ELSE {_names('label_int')} END AS label FROM log)"
         " SELECT event_id, label, CASE WHEN label = 'other' THEN 0 ELSE label_int END::BIGINT AS label_int, (label <> 'other' AND label_int > 0)::BIGINT AS is_attack FROM h",
         "label_distribution": f"{_LOG} SELECT {_names('label_int')} AS label, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM log), 4) AS pct FROM log GROUP BY 1",
+        "stats_of_days": f"{_LOG} SELECT count(*) AS events, count(DISTINCT entity_id) AS entities, count(DISTINCT entity_id) FILTER (entity_type = 'user') AS users,"
+        " count(DISTINCT entity_id) FILTER (entity_type = 'edge_device') AS edge_devices, count(DISTINCT entity_id) FILTER (entity_type = 'service_account') AS service_accounts,"
+        " strftime(min(ts), '%Y-%m-%d') AS first_day, strftime(max(ts), '%Y-%m-%d') AS last_day, round(100.0::DOUBLE * avg((label_int > 0)::INT), 4) AS attack_pct, round(100.0::DOUBLE * avg((label_int = 0)::INT), 4) AS normal_pct, 1::BIGINT AS sketch_is_close FROM log WHERE ts >= DATE '2024-01-06' AND ts < DATE '2024-01-16'",
         "dataset_stats": f"{_LOG} SELECT count(*) AS events, count(DISTINCT entity_id) AS entities, count(DISTINCT entity_id) FILTER (entity_type = 'user') AS users,"
         " count(DISTINCT entity_id) FILTER (entity_type = 'edge_device') AS edge_devices, count(DISTINCT entity_id) FILTER (entity_type = 'service_account') AS service_accounts,"
         " strftime(min(ts), '%Y-%m-%d') AS first_day, strftime(max(ts), '%Y-%m-%d') AS last_day, round(100.0::DOUBLE * avg((label_int > 0)::INT), 4) AS attack_pct, round(100.0::DOUBLE * avg((label_int = 0)::INT), 4) AS normal_pct FROM log",

@@ -380,6 +380,20 @@ def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumns({"attack_pct": F.round("attack_pct", 4), "normal_pct": F.round("normal_pct", 4)})
 
 
+@query
+def stats_of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of ten days from the stored statistics of each day, added in two parts; exact, with the sketches' error."""
+    log, path = _log(spark, sf_dir), scratch_path(spark, "daily")
+    early = F.col("timestamp") < F.lit("2024-01-12").cast("timestamp")
+    for part in (log.where(early), log.where(~early)):
+        metrics.daily_stats(part).save(path)
+    daily = metrics.load_daily(spark, path)
+    exact, close = (daily.between("2024-01-06", "2024-01-15", x) for x in (True, False))
+    near = F.abs(close.select("entities").scalar() - F.col("entities")) <= 0.05 * F.col("entities")
+    rounded = {c: F.round(c, 4) for c in ("attack_pct", "normal_pct")}
+    return exact.withColumns(rounded).withColumn("sketch_is_close", near.cast("long"))
+
+
 @query
 def severity_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = int_to_label(F.col("pred_stub"))
