@@ -5,6 +5,7 @@ and its ids are joined back at every position in the buckets that asked for it.
 piece in the vocabulary, once per distinct word of a bucket; the vocabulary is a fixed table of 49,408 rows.
 """
 
+import hashlib
 import json
 import re
 import sys
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from watchframe.llm.common import raw_texts, read_documents
+from watchframe.llm.common import give_back, raw_texts, read_documents, text_buckets
 from watchframe.llm.packed import from_bytes, packed, to_bytes, unpacked
 
 
@@ -117,8 +118,13 @@ def _by_shard(words: Iterable[str], shards: int) -> dict[int, list[str]]:
     return out
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """One row (key, ids, decoded) per document: ids as little-endian unsigned 32-bit integers, and their decoding.
+#: Bytes of text in a bucket: a task holds its distinct words, their ids and the bucket's result.
+BUCKET = 6 << 20
+
+
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, digest: bool = False) -> DataFrame:
+    """One row (key, ids, decoded) per document: ids as little-endian unsigned 32-bit integers, and their decoding, or
+    with `digest` the lowercase hex SHA-256 of its UTF-8.
 
     `path` is a word-level BPE in the tokenizers library's JSON; beginnings and ends are not added, nothing is cut
     or padded, special strings in a text are their tokens. A null or empty text has no ids and an empty decoding.
@@ -131,7 +137,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     special = [x["content"] for x in data["added_tokens"]]
     patterns = word_patterns()
     kind = dict(docs.dtypes)[key]
-    packs, n = packed(docs, [key, text], text)
+    packs, n = packed(docs, [key, text], text, text_buckets(docs, text, BUCKET))
 
     def ask(table: pa.Table) -> pa.Table:
         split, words = Splitter(patterns, special), set()
@@ -165,14 +171,18 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
         for shard, found in zip(answers["shard"].to_pylist(), answers["ids"].to_pylist(), strict=True):
             for word, x in zip(asked[shard], from_bytes(found).column(0).to_pylist(), strict=True):
                 ids[numbers[word]] = x
+        del asked, numbers, number
         decoded = [" ".join([pieces[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in ids]
+        shown = lambda x: hashlib.sha256(x.encode("utf-8", "replace")).hexdigest() if digest else x
         schema = pa.schema([(key, rows[0][0].type), ("ids", pa.binary()), ("decoded", pa.string())])
         for keys, texts in rows:
             for a in range(0, len(texts), 500):
                 each = [x.tolist() for x in texts[a : a + 500]]
-                columns = [keys.slice(a, len(each)), pa.array([b"".join([ids[w] for w in x]) for x in each], pa.binary()), pa.array([" ".join([decoded[w] for w in x]) for x in each], pa.string())]
+                columns = [keys.slice(a, len(each)), pa.array([b"".join([ids[w] for w in x]) for x in each], pa.binary()), pa.array([shown(" ".join([decoded[w] for w in x])) for x in each], pa.string())]
                 out.append(pa.RecordBatch.from_arrays(columns, schema=schema))
         rows.clear()
+        del ids, decoded
+        give_back()
         return pa.Table.from_batches(out, schema=schema)
 
     questions = packs.groupBy("bucket").applyInArrow(ask, "shard int, bucket int, words binary")
@@ -181,10 +191,10 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
 
 
 def op5_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = encode(read_documents(spark, sf_dir))
+    found = encode(read_documents(spark, sf_dir), digest=True)
     return found.select(
         "doc_id",
         F.expr("length(ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.col("decoded").alias("decoded_sha256"),
     )

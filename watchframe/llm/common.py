@@ -93,6 +93,12 @@ def partitions(df: DataFrame) -> int:
     return max(least, math.ceil(size / BUCKET_BYTES)) if size < 1 << 55 else least
 
 
+def text_buckets(docs: DataFrame, text: str, size: int) -> int:
+    """Buckets of about `size` bytes of text, as many as shuffles have partitions at least. Reads the texts once."""
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-total // size))
+
+
 def crc(key: str | Column) -> Column:
     """crc32 of the key as text; a null key counts as the empty text."""
     col = F.col(key) if isinstance(key, str) else key

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from watchframe.llm.common import give_back, raw_texts, read_documents
+from watchframe.llm.common import raw_texts, read_documents, text_buckets
 from watchframe.llm.packed import packed, unpacked
 
 LENGTH = 400
@@ -287,10 +287,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     columns are left out. Memory: a bucket of documents, one text at least, and about 80 bytes for each of its places that level 2
     tells apart.
     """
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-total // bucket))
-    packs, _ = packed(docs, [key, text], text, n)
+    packs, _ = packed(docs, [key, text], text, text_buckets(docs, text, bucket))
     kind = dict(docs.dtypes)[key]
 
     def dealt(columns: DataFrame, f: Callable, schema: str) -> DataFrame:
@@ -316,3 +313,22 @@ def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_repeats(read_documents(spark, sf_dir))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = {
+    "op12_repeats": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT r, base, h[2 * base + 1 : 2 * base + 1798] AS h FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 399, 500)) AS base FROM d WHERE len(h) >= 800)),
+places AS (SELECT r, base + i AS p, hash(h[2 * i + 1 : 2 * i + 800]) AS k FROM (SELECT r, base, h, unnest(range(0, least(500, len(h) // 2 - 399))) AS i FROM pieces)),
+again AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY k) AS n FROM places) WHERE n > 1),
+runs AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS span FROM (
+  SELECT r, p, CASE WHEN p > lag(p) OVER (PARTITION BY r ORDER BY p) + 400 THEN 1 ELSE 0 END AS new FROM again)),
+spans AS (SELECT r, min(p) AS a, max(p) + 400 AS b FROM runs GROUP BY r, span),
+cut AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS since FROM spans),
+parts AS (SELECT r, string_agg(h[2 * since + 1 : 2 * a], '' ORDER BY a) AS kept, max(b) AS last, sum(b - a) AS n_removed, count(*) AS n_spans
+  FROM cut JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept || h[2 * last + 1 :], h))) AS kept_sha256
+FROM d LEFT JOIN parts USING (r)
+"""
+}
