@@ -183,18 +183,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", br
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", brute: int = BRUTE) -> DataFrame:
-    """The rows of `docs`, one of each component: that of the smallest key. Rows with null keys stay only where all
-    keys of their component are null."""
-    marked = materialize(fingerprints(docs, key, text), "fingerprints")
-    classes = materialize(components(marked, key, brute), "components")
-    chosen = classes.filter("component_id IS NOT NULL").select(F.col("component_id").alias(key)).distinct()
-    named = docs.join(chosen, key, "left_semi").dropDuplicates([key])
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    bare = docs.filter(F.col(f"`{key}`").isNull()).select(whole.alias("row"), F.col(f"`{text}`").alias("text"))
-    bare = bare.select("row", _fingerprint()(F.col("text")).alias("fp"))
-    alone = classes.filter("component_id IS NULL").select("fp", "root")
-    bare = bare.join(alone, "fp").dropDuplicates(["root"]).select("row.*")
-    return named.select(docs.columns).unionByName(bare)
+    """One row of `docs` for each component: that of the smallest key, and of the smallest hash of the whole row where
+    rows share the key. A row with a null key stays only where all keys of its component are null; rows that repeat in
+    every column count as one."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    held = "_row"
+    while held in docs.columns:
+        held += "_"
+    marked = docs.select(F.col(f"`{key}`"), F.xxhash64(*columns).alias(held), _fingerprint()(F.col(f"`{text}`")).alias("fp"))
+    marked = materialize(marked, "fingerprints")
+    classes = components(marked, key, brute).select("fp", "root")
+    first = F.min(F.struct(F.col(f"`{key}`").isNull().alias("bare"), F.col(f"`{key}`").alias("k"), F.col(held).alias("row")))
+    chosen = materialize(marked.join(classes, "fp").groupBy("root").agg(first.alias("c")).select("c.k", "c.row"), "chosen")
+    rows = docs.withColumn(held, F.xxhash64(*columns))
+    kept = rows.join(chosen, rows[f"`{key}`"].eqNullSafe(chosen["k"]) & (rows[held] == chosen["row"]), "left_semi")
+    return kept.dropDuplicates([key, held]).select(*columns)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
