@@ -10,7 +10,7 @@ from llm.test_rows import fingerprint, parts
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from watchframe.llm import mixing, pii, queries
+from watchframe.llm import mixing, pii, queries, simhash
 from watchframe.session import materialize
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -60,3 +60,22 @@ def test_empty_table(spark, none):
 
 def test_registered():
     assert {f"op{n}" for n in range(1, 14)} | {"pipeline"} == {q.split("_")[0] for q in queries.queries()}
+
+
+def test_one_row_of_each_component(spark):
+    """An id with texts of several components keeps one row of each; repeated rows count as one."""
+    texts = ["alpha beta gamma delta epsilon", "one two three four five six", "red green blue white black"]
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[1]), (9, texts[1]), (None, texts[2]), (None, texts[2]), (3, texts[0]), (None, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(3, texts[0]), (7, texts[1]), (None, texts[2])], key=repr)
+
+
+def test_stages_take_odd_rows(spark, odd):
+    """Nulls, repeats, very long texts and columns with clashing names go through the whole chain."""
+    docs = odd
+    for name, stage in cp.STAGES:
+        docs = materialize(stage(spark, docs, SF_DIR))
+        assert name == "encoding" or docs.columns == odd.columns
+    assert docs.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and docs.count() > 0
