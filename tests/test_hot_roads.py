@@ -67,4 +67,4 @@ def test_baselines_keep_every_row(spark, name):
         assert rows.count() == log.count() and rows.where("accepted is null or session_duration_zscore is null").count() == 0
         assert rows.columns[: len(log.columns)] == log.columns
     still = with_sequential(materialize(prepared(log).withColumns({c: F.lit(1.0) for c in ("session_duration_raw", "bytes_transferred_raw", "auth_failure_rate", "resource_diversity", "geo_velocity_kmh")})))
-    assert still.count() == log.count() and still.where("accepted").count() >= 600
+    assert still.count() == log.count() and still.where("accepted").count() >= 60  # those of the first minute
