@@ -4,13 +4,15 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm.conftest import ordered
 
-from watchframe.llm import lexical, vafile
+from watchframe.llm import lexical, topk, vafile
 from watchframe.session import materialize
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -130,3 +132,21 @@ def test_full_vectors_are_taken_where_intervals_overlap(spark):
     first = np.floor(256 * centres).astype(np.int64)
     centroids, taken = vafile.fitted(stored, first, low, high, 3)
     assert taken == [500, 0, 0] and np.abs(centroids - first).max() <= 3
+
+
+def test_a_full_block_of_queries_fits():
+    """4,096 queries of 64 numbers against as many vectors: every kind of pass stays under 200 MB."""
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-1000, 1000, (topk.ROWS, 64))
+    block = topk.Block(np.arange(topk.QUERIES), vectors[: topk.QUERIES])
+    stored = pa.RecordBatch.from_arrays([pa.array([np.arange(topk.ROWS).tobytes()]), pa.array([64]), pa.array([vectors.tobytes()])], names=["ids", "width", "matrix"])
+    tracemalloc.start()
+    found = list(block.ranges([stored]))[0]
+    block.low, block.bits = found.column(1).to_numpy().copy(), np.full(topk.QUERIES, 40)
+    block.wanted[:] = 10
+    assert sum(b.column(2).to_numpy().sum() for b in block.histogram([stored])) == topk.QUERIES * (topk.ROWS - 1)
+    block.score[:], block.last[:] = 10**7, -1
+    assert sum(b.num_rows for b in block.chosen([stored])) < topk.QUERIES * topk.ROWS / 10
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20

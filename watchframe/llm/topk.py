@@ -19,6 +19,8 @@ from watchframe.session import materialize
 K, EVERY, SCALE = 10, 100, 1024
 #: Queries and numbers in one block; vectors in one stored row; bits by which a pass narrows.
 QUERIES, ELEMENTS, ROWS, STEP = 4096, 1 << 21, 4096, 7
+#: Scores that a task holds at once; it makes a few more arrays of that length from them.
+SCORES = 1 << 20
 
 
 def _matrix(vectors: pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,8 +81,11 @@ class Block:
         for batch in batches:
             for ids, width, matrix in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 ids = np.frombuffer(ids, np.int64)
-                scores = self.scores(width, np.frombuffer(matrix, np.int64).reshape(len(ids), width))
-                yield ids, scores, ids[None, :] != self.ids[:, None]
+                vectors = np.frombuffer(matrix, np.int64).reshape(len(ids), width)
+                step = max(1, SCORES // max(1, len(self.ids)))
+                for a in range(0, len(ids), step):
+                    part = ids[a : a + step]
+                    yield part, self.scores(width, vectors[a : a + step]), part[None, :] != self.ids[:, None]
 
     def ranges(self, batches):
         low, high = np.full(len(self.ids), np.iinfo(np.int64).max), np.full(len(self.ids), np.iinfo(np.int64).min)
