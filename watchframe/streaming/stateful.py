@@ -97,13 +97,12 @@ class BaselineSink:
         return baseline.load_state(spark, f"{self.path}/state/batch={batch - 1}") if batch > 0 else None
 
     def __call__(self, df: DataFrame, batch: int) -> None:
-        spark = df.sparkSession
+        spark, target = df.sparkSession, f"{self.path}/scored/batch={batch}"
         state = self.state_before(spark, batch)
-        target = f"{self.path}/scored/batch={batch}"
         scored = baseline.score_slice(baseline.measured(df), state, self.options)
         scored.write.mode("overwrite").parquet(target)
-        after = baseline.update_state(spark.read.parquet(target).drop(*baseline.ADDED), state, self.options)
-        after.save(f"{self.path}/state/batch={batch}")
+        rows = spark.read.schema(scored.schema).parquet(target)
+        baseline.updated(rows, state, self.options).write.mode("overwrite").parquet(f"{self.path}/state/batch={batch}")
 
     def scored(self, spark) -> DataFrame:
         return baseline.tidy(spark.read.option("basePath", f"{self.path}/scored").parquet(f"{self.path}/scored"))
