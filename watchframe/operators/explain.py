@@ -57,40 +57,83 @@ def _leaves(nodes: pd.DataFrame, value: Callable[[dict], float | np.ndarray]) ->
 
 
 def _reaches(inside: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """[row, feature]: the mean, over orders of the features, of the chance to reach a leaf without the feature.
+    """[feature, row]: the mean, over orders of the features, of the chance to reach a leaf without the feature.
 
-    The path is extended by one feature after another, which keeps for each number of known features the weight of all
-    sets of that size, and each feature is unwound from the whole again: quadratic in the path's length.
+    `inside` and `share` are by feature and row. The path is extended by one feature after another, which keeps for each
+    number of known features the weight of all sets of that size, and each feature is unwound from the whole again:
+    quadratic in the path's length.
     """
-    n, d = inside.shape
+    d, n = inside.shape
     weight = np.zeros((d + 1, n))
     weight[0] = 1.0
     for k in range(d):  # k features are on the path already
         for size in range(k, -1, -1):
-            weight[size + 1] += inside[:, k] * weight[size] * (size + 1) / (k + 2)
+            weight[size + 1] += inside[k] * weight[size] * (size + 1) / (k + 2)
             weight[size] *= share[k] * (k + 1 - size) / (k + 2)
-    out = np.zeros((n, d))
+    out = np.zeros((d, n))
     for i in range(d):
-        known, rest = inside[:, i] > 0, weight[d]
+        known, rest = inside[i] > 0, weight[d]
         for size in range(d - 1, -1, -1):
             if_known = rest * (d + 1) / (size + 1)
             if_not = weight[size] * (d + 1) / (share[i] * (d - size))
-            out[:, i] += np.where(known, if_known, if_not)
+            out[i] += np.where(known, if_known, if_not)
             rest = weight[size] - if_known * share[i] * (d - size) / (d + 1)
     return out
 
 
-def _contributions(leaves: Sequence[Leaf], x: np.ndarray, kind: np.ndarray | None = None) -> np.ndarray:
-    """Shapley value of every column for every row, summed over leaves; of the row's class where leaves have several."""
-    phi = np.zeros(x.shape)
-    for leaf in leaves:
-        if not len(leaf.features):
+#: Leaves whose tables are made and held at a time.
+LEAVES = 256
+
+
+def _tables(leaves: Sequence[Leaf], rows: int) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """By leaf, for every pattern of features that a row may meet: [feature, pattern], whether it is inside less its share, and
+    its reach. None for paths with more patterns than rows."""
+    out: list = [None] * len(leaves)
+    for d in {len(leaf.features) for leaf in leaves}:
+        if not d or 2**d > rows:
             continue
-        part = x[:, leaf.features]
-        inside = ((part > leaf.low) & (part <= leaf.high)).astype(float)
-        value = leaf.value if kind is None else leaf.value[kind][:, None]
-        phi[:, leaf.features] += value * (inside - leaf.share) * _reaches(inside, leaf.share)
-    return phi
+        at = [i for i, leaf in enumerate(leaves) if len(leaf.features) == d]
+        inside = np.tile((np.arange(2**d) >> np.arange(d)[:, None] & 1).astype(float), len(at))
+        share = np.repeat(np.array([leaves[i].share for i in at]).T, 2**d, axis=1)
+        off, reaches = inside - share, _reaches(inside, share)
+        for place, i in enumerate(at):
+            own = slice(place * 2**d, (place + 1) * 2**d)
+            out[i] = off[:, own], reaches[:, own]
+    return out
+
+
+def _contributions(leaves: Sequence[Leaf], x: np.ndarray, kind: np.ndarray | None = None) -> np.ndarray:
+    """Shapley value of every column for every row, summed over leaves; of the row's class where leaves have several.
+
+    A leaf gives a row what the row's pattern says: which features of the leaf's path it is inside of. Patterns are at most
+    two to the path's length, so what they give is worked out once and looked up.
+    """
+    columns = np.ascontiguousarray(x.T)
+    phi = np.zeros(columns.shape)
+    for start in range(0, len(leaves), LEAVES):
+        chunk = leaves[start : start + LEAVES]
+        for leaf, table in zip(chunk, _tables(chunk, len(x))):
+            if not len(leaf.features):
+                continue
+            inside = [(columns[f] > low) & (columns[f] <= high) for f, low, high in zip(leaf.features, leaf.low, leaf.high)]
+            if table is None:
+                parts = np.array(inside, dtype=float)
+                share = np.repeat(leaf.share[:, None], len(x), axis=1)
+                value = leaf.value if kind is None else leaf.value[kind]
+                phi[leaf.features] += value * (parts - share) * _reaches(parts, share)
+                continue
+            off, reaches = table
+            pattern = np.zeros(len(x), dtype=np.intp)
+            for j, known in enumerate(inside):
+                pattern += known.astype(np.intp) << j
+            if kind is None:
+                given = leaf.value * off * reaches
+            else:
+                given = (leaf.value[:, None] * off[:, None] * reaches[:, None]).reshape(len(off), -1)
+                pattern += kind * off.shape[1]
+            for f, values in zip(leaf.features, given):
+                phi[f] += values[pattern]
+    return phi.T
 
 
 def base_value(leaves: Sequence[Leaf]) -> float | np.ndarray:
