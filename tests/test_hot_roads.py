@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from watchframe.operators.baseline import with_sequential
 from watchframe.operators.features import with_address_features, with_behaviour
 from watchframe.operators.log import prepared
+from watchframe.operators.scans import running_index
 from watchframe.plans import detect
 from watchframe.schema import FLAT_EVENT
 from watchframe.session import materialize
@@ -68,3 +69,15 @@ def test_baselines_keep_every_row(spark, name):
         assert rows.columns[: len(log.columns)] == log.columns
     still = with_sequential(materialize(prepared(log).withColumns({c: F.lit(1.0) for c in ("session_duration_raw", "bytes_transferred_raw", "auth_failure_rate", "resource_diversity", "geo_velocity_kmh")})))
     assert still.count() == log.count() and still.where("accepted").count() >= 60  # those of the first minute
+
+
+def test_running_index_shuffles_rows_once(spark):
+    """Hours are few: their counts go to the rows, which are shuffled for their places only."""
+    rows = spark.range(50).selectExpr("id as event_id", "id * 1000000000L as ts_us")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = running_index(rows, "i")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # of the join, only the counts may be shuffled beforehand
+    assert "BroadcastHashJoin [coalesce(_block" in plan
