@@ -304,3 +304,24 @@ def test_surprise_in_the_row_equals_the_join(spark):
         spark.conf.unset("watchframe.rowLocalPairs")
     shown = lambda found: sorted((str(r.event_id), str(r.command_sequence), round(r.sequence_anomaly_score, 9)) for r in found)
     assert shown(near) == shown(far) and len(near) == 21
+
+
+def test_reaches_are_worked_out_by_pattern(monkeypatch):
+    """However many rows there are, a leaf's reaches are taken for the patterns of its path; the sums stay the same."""
+    rng = np.random.default_rng(3)
+    leaves = []
+    for d in (0, 1, 2, 2, 3):
+        low = rng.uniform(-1, 0, d)
+        leaves.append(explain.Leaf(rng.random(7), rng.choice(4, d, replace=False), low, low + 0.7, rng.uniform(0.2, 0.9, d)))
+    x, kind = rng.uniform(-1, 1, (1000, 4)), rng.integers(0, 7, 1000)
+    alone = np.concatenate([explain._contributions(leaves, x[i : i + 1], kind[i : i + 1]) for i in range(1000)])
+    seen = []
+    reaches = explain._reaches
+    monkeypatch.setattr(explain, "_reaches", lambda inside, share: seen.append(inside.size) or reaches(inside, share))
+    assert (explain._contributions(leaves, x, kind) == alone).all()
+    assert sum(seen) == 1 * 2 + 2 * (2 * 4) + 3 * 8
+
+
+def test_small_matrix_takes_few_tasks(spark):
+    assert fusion._in_fewer_tasks(spark.range(100).repartition(8)).rdd.getNumPartitions() == 1
+    assert fusion._in_fewer_tasks(spark.range(40_000).repartition(8)).rdd.getNumPartitions() == 3
