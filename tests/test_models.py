@@ -325,3 +325,66 @@ def test_reaches_are_worked_out_by_pattern(monkeypatch):
 def test_small_matrix_takes_few_tasks(spark):
     assert fusion._in_fewer_tasks(spark.range(100).repartition(8)).rdd.getNumPartitions() == 1
     assert fusion._in_fewer_tasks(spark.range(40_000).repartition(8)).rdd.getNumPartitions() == 3
+
+
+@pytest.mark.parametrize("limit", ["0", "5", "500000"])
+def test_ecod_in_the_row_equals_the_join(spark, cloud, limit, capsys):
+    """No column, the one of two values and all columns looked up in the row; values beside the fitted ones too."""
+    columns = ["a", "b", "c"]
+    fitted = cloud.where("event_id % 2 = 0")
+    ranks = outliers.value_ranks(fitted, columns).localCheckpoint()
+    signs = [1.0, -1.0, 0.0]
+    spark.conf.set("watchframe.rowValues", limit)
+    try:
+        scored = outliers.with_ecod(cloud, ranks, columns, signs)
+        got = by_event(scored, "ecod")
+        scored.explain()
+    finally:
+        spark.conf.unset("watchframe.rowValues")
+    assert ("Exchange" in capsys.readouterr().out) == (limit != "500000")
+    known = np.array(fitted.select(*columns).collect(), float)
+    want = []
+    for row in cloud.orderBy("event_id").select(*columns).collect():
+        total, floor = 0.0, 1 / (len(known) + 1)
+        for f, sign in enumerate(signs):
+            left = -math.log(max((known[:, f] <= row[f]).mean(), floor))
+            right = -math.log(max((known[:, f] >= row[f]).mean(), floor))
+            total += max(left, right, left if sign < 0 else right if sign > 0 else left + right)
+        want.append(total)
+    assert got == pytest.approx(want)
+
+
+def test_ecod_without_fitted_rows(spark, cloud):
+    ranks = outliers.value_ranks(cloud.limit(0), ["a"])
+    assert outliers.with_ecod(cloud, ranks, ["a"], [0.0]).isEmpty()
+
+
+def test_outlier_model_of_one_column(spark, cloud):
+    df = outliers.with_outliers(cloud, outliers.fit(cloud, ["b"], outliers.Params(trees=20, sample=64)))
+    assert by_event(df, "tabular_flag")[401:] == [1, 1]
+
+
+def test_forest_as_heaps():
+    """A tree takes one look-up of a feature and of a threshold a level; leaves end where a walk over the nodes ends."""
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(11_000, 4)).round(1)
+    x[:, 1] = rng.integers(0, 2, len(x))
+    grow = outliers._grow(outliers.Params(seed=5), 4)
+    draws = [x[:30], x[30:60, :] * [1, 0, 0, 0], x[60:61]]  # whole trees, one of ties, a single leaf
+    nodes = pd.concat([grow(pd.DataFrame({"tree": t, "x": list(d)})) for t, d in enumerate(draws)])
+    forest = outliers._packed(nodes.sample(frac=1, random_state=1), 30)
+    assert forest["feature"].shape == forest["threshold"].shape == (3, 31) and forest["depth"].shape == (3, 32)
+    by_tree = [dict(zip(t["node"], t.itertuples(index=False))) for _, t in nodes.groupby("tree")]
+    found = outliers._forest_scores(forest, x)
+    assert found.shape == (11_000,) and outliers._forest_scores(forest, x[:0]).shape == (0,)
+    for i in [*range(50), 4999, 5000, 10_999]:
+        lengths = []
+        for tree in by_tree:
+            node = tree[0]
+            while node.feature >= 0:
+                node = tree[node.below if x[i, node.feature] <= node.threshold else node.above]
+            lengths.append(node.depth)
+        assert found[i] == pytest.approx(2 ** (-np.mean(lengths) / forest["norm"]), rel=1e-12)
+    assert outliers._forest_scores(outliers._packed(nodes[:0], 0), x[:0]).shape == (0,)
