@@ -388,3 +388,22 @@ def test_forest_as_heaps():
             lengths.append(node.depth)
         assert found[i] == pytest.approx(2 ** (-np.mean(lengths) / forest["norm"]), rel=1e-12)
     assert outliers._forest_scores(outliers._packed(nodes[:0], 0), x[:0]).shape == (0,)
+
+
+def test_training_scores_only_what_the_models_read(spark, monkeypatch):
+    read = ["event_id", "label_int", "command_sequence", *detect.FEATURES, *fusion.RULE_FLAGS]
+    seen = []
+
+    def scored(df, *_, **options):
+        seen.append((sorted(df.columns), options))
+        return df
+
+    monkeypatch.setattr(outliers, "fit", scored)
+    monkeypatch.setattr(sequence, "fit", scored)
+    monkeypatch.setattr(outliers, "with_outliers", scored)
+    monkeypatch.setattr(sequence, "with_surprise", scored)
+    monkeypatch.setattr(fusion, "fit", scored)
+    wide = spark.range(1).select(*[F.lit(0).alias(c) for c in [*read, "geo_city", "rule_hits", "probabilities"]])
+    detect.fit(wide)
+    assert [columns for columns, _ in seen] == [sorted(read)] * 5
+    assert seen[2][1] == {"in_row": False}  # the rows' order, which the forest draws by, is the join's
