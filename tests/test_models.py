@@ -407,3 +407,42 @@ def test_training_scores_only_what_the_models_read(spark, monkeypatch):
     detect.fit(wide)
     assert [columns for columns, _ in seen] == [sorted(read)] * 5
     assert seen[2][1] == {"in_row": False}  # the rows' order, which the forest draws by, is the join's
+
+
+def grown_tree(rng, width, depth, value):
+    """Rows of a saved tree whose splits take features at random, the same one more than once; some leaves come early."""
+    nodes, todo = [], [(0, 0, 1000)]
+    while todo:
+        at, level, n = todo.pop()
+        leaf = level == depth or (level > 1 and rng.random() < 0.2)
+        children = (-1, -1) if leaf else (len(nodes) + len(todo) + 1, len(nodes) + len(todo) + 2)
+        split = {"featureIndex": -1 if leaf else int(rng.integers(width)), "leftCategoriesOrThreshold": [] if leaf else [float(rng.uniform(-1, 1))]}
+        nodes.append({"id": at, "leftChild": children[0], "rightChild": children[1], "split": split, "rawCount": n, "prediction": value(rng)})
+        if not leaf:
+            todo += [(children[0], level + 1, n * 0.3), (children[1], level + 1, n * 0.7)]
+    return nodes
+
+
+@pytest.mark.parametrize("classes", [None, 7])
+def test_trees_are_met_split_by_split(monkeypatch, classes):
+    """Contributions of whole trees equal those leaf by leaf; a split is met once a row and leaves on it are looked up together."""
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    trees = [
+        explain._tree(pd.DataFrame({"nodeData": grown_tree(rng, 5, depth, lambda g: g.normal(size=classes))}), lambda n: n["prediction"])
+        for depth in (0, 1, 3, 5, 6)
+    ]
+    assert any(len(leaf.features) < len(way) for tree in trees for leaf, (_, way) in zip(tree.leaves, tree.ways))
+    x = rng.uniform(-1, 1, (600, 5))
+    kind = None if classes is None else rng.integers(1, classes, 600)
+    leaves = [leaf for tree in trees for leaf in tree.leaves]
+    want = explain._contributions(leaves, x, kind)
+    monkeypatch.setattr(explain, "TREE_ROWS", 250)
+    monkeypatch.setattr(explain, "_contributions", None)  # the leaf-by-leaf road is not taken
+    assert explain._tree_contributions(trees, x, kind) == pytest.approx(want, abs=1e-12)
+
+
+def test_batches_are_explained_together():
+    batches = [([0] * n,) for n in (3, 4, 9, 1, 0)]
+    assert [[len(b[0]) for b in held] for held in explain._gathered(iter(batches), 7)] == [[3, 4], [9], [1, 0]]

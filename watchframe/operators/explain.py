@@ -3,7 +3,8 @@
 Contributions are path-dependent tree SHAP values (Lundberg et al. 2018): to the gate's log-odds, which is why the
 risk is high, and to the share of the predicted kind of attack in the attribution forest, which is why it is that kind. The trees are
 read from their saved form, turned into leaf boxes on the driver (trees times leaves, bounded by the models'
-parameters) and sent to the tasks, which handle alert rows in Arrow batches.
+parameters) and sent to the tasks, which handle alert rows in Arrow batches. A row meets each split once, and leaves beside
+each other are looked up together.
 """
 
 from __future__ import annotations
@@ -35,25 +36,47 @@ class Leaf(NamedTuple):
     share: np.ndarray
 
 
-def _leaves(nodes: pd.DataFrame, value: Callable[[dict], float | np.ndarray]) -> list[Leaf]:
-    """Boxes of one tree; several splits on one feature become one interval."""
+class Tree(NamedTuple):
+    """A tree's splits, parents first and subtree by subtree: feature, cut and how many splits lie above. Leaves come with their
+    `ways`: the split that a leaf hangs on, and of every split on its path the feature and whether the leaf is on the low side."""
+
+    features: list[int]
+    cuts: list[float]
+    depths: list[int]
+    leaves: list[Leaf]
+    ways: list[tuple[int, list[tuple[int, bool]]]]
+
+
+def _tree(nodes: pd.DataFrame, value: Callable[[dict], float | np.ndarray]) -> Tree:
+    """One tree with its boxes; several splits on one feature become one interval."""
     rows = {n["id"]: n for n in nodes["nodeData"]}
-    out = []
-    todo = [(0, {})]
+    tree = Tree([], [], [], [], [])
+    todo = [(0, {}, -1, [])]
     while todo:
-        at, box = todo.pop()
+        at, box, above, way = todo.pop()
         node = rows[at]
         if node["leftChild"] < 0:
             f = list(box)
             parts = np.array([box[i] for i in f]).reshape(len(f), 3)
-            out.append(Leaf(value(node), np.array(f, dtype=int), parts[:, 0], parts[:, 1], parts[:, 2]))
+            tree.leaves.append(Leaf(value(node), np.array(f, dtype=int), parts[:, 0], parts[:, 1], parts[:, 2]))
+            tree.ways.append((above, way))
             continue
         feature, cut = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
         low, high, share = box.get(feature, (-np.inf, np.inf, 1.0))
+        place = len(tree.features)
+        tree.features.append(feature)
+        tree.cuts.append(cut)
+        tree.depths.append(len(way))
         for child, interval in (("leftChild", (low, min(high, cut))), ("rightChild", (max(low, cut), high))):
             kept = rows[node[child]]["rawCount"] / node["rawCount"]
-            todo.append((node[child], {**box, feature: (*interval, share * kept)}))
-    return out
+            step = (feature, child == "leftChild")
+            todo.append((node[child], {**box, feature: (*interval, share * kept)}, place, [*way, step]))
+    return tree
+
+
+def _leaves(nodes: pd.DataFrame, value: Callable[[dict], float | np.ndarray]) -> list[Leaf]:
+    """Boxes of one tree."""
+    return _tree(nodes, value).leaves
 
 
 def _reaches(inside: np.ndarray, share: np.ndarray) -> np.ndarray:
@@ -136,6 +159,77 @@ def _contributions(leaves: Sequence[Leaf], x: np.ndarray, kind: np.ndarray | Non
     return phi.T
 
 
+#: Rows for every pattern of a longest path, at least, for whole trees to be looked up.
+PATTERN_ROWS = 4
+
+#: Rows that meet a tree at a time, which a core's cache holds.
+TREE_ROWS = 8192
+
+#: Rows for which the tables of a tree are made at a time.
+EXPLAINED_ROWS = 65_536
+
+
+def _below(tree: Tree, kinds: np.ndarray | None, rows: int) -> list[dict[int, np.ndarray]]:
+    """By split, for each feature what the leaves on it give a row of each kind, by the sides the row takes at the split
+    (the last bit) and those above it."""
+    out: list[dict[int, np.ndarray]] = [{} for _ in tree.features]
+    for leaf, (at, way), table in zip(tree.leaves, tree.ways, _tables(tree.leaves, rows)):
+        if table is None:
+            continue
+        sides = np.arange(2 ** len(way))
+        inside = np.ones((len(leaf.features), len(sides)), dtype=bool)
+        place = {f: j for j, f in enumerate(leaf.features)}
+        for bit, (feature, low) in enumerate(reversed(way)):
+            inside[place[feature]] &= (sides >> bit & 1) == low
+        pattern = (inside << np.arange(len(place))[:, None]).sum(axis=0)
+        given = np.take(table[0] * table[1], pattern, axis=1)
+        if kinds is None:
+            given = leaf.value * given
+        else:
+            given = (leaf.value[kinds][:, None] * given[:, None]).reshape(len(given), -1)
+        for f, values in zip(leaf.features, given):
+            out[at][f] = out[at][f] + values if f in out[at] else values
+    return out
+
+
+def _tree_contributions(trees: Sequence[Tree], x: np.ndarray, kind: np.ndarray | None = None) -> np.ndarray:
+    """`_contributions` of the trees' leaves. Of many rows each split is met once, whatever the number of leaves behind it, and
+    the leaves that hang on one split are looked up together."""
+    longest = max((depth + 1 for tree in trees for depth in tree.depths), default=0)
+    if len(x) < PATTERN_ROWS * 2**longest:
+        return _contributions([leaf for tree in trees for leaf in tree.leaves], x, kind)
+    columns = np.ascontiguousarray(x.T)
+    phi = np.zeros(columns.shape)
+    kinds, own_kind = (None, None) if kind is None else np.unique(kind, return_inverse=True)
+    for tree in trees:
+        below = _below(tree, kinds, len(x))
+        for start in range(0, len(x), TREE_ROWS):
+            own = slice(start, start + TREE_ROWS)
+            sides: list = [None] * longest
+            for f, cut, depth, tables in zip(tree.features, tree.cuts, tree.depths, below):
+                low = columns[f, own] <= cut
+                sides[depth] = 2 * sides[depth - 1] + low if depth else low.astype(np.intp)
+                if not tables:
+                    continue
+                at = sides[depth] if kinds is None else sides[depth] + (own_kind[own] << depth + 1)
+                for g, values in tables.items():
+                    phi[g, own] += values.take(at)
+    return phi.T
+
+
+def _gathered(batches: Iterator, rows: int) -> Iterator[list]:
+    """Successive batches in lists of about `rows` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch[0] if isinstance(batch, tuple) else batch)
+        if n >= rows:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def base_value(leaves: Sequence[Leaf]) -> float | np.ndarray:
     """Log-odds, or share of each class, before any feature is known."""
     total = sum(leaf.value * leaf.share.prod() for leaf in leaves)
@@ -148,15 +242,15 @@ def _trees(saved: Any, spark, name: str) -> pd.DataFrame:
     return spark.read.parquet(f"{path}/data").toPandas()  # at most trees * 2 ** (depth + 1) rows
 
 
-def gate_leaves(model: FusionModel, spark) -> list[Leaf]:
-    """All leaf boxes of the gate, valued in log-odds (its margin counts half)."""
+def gate_trees(model: FusionModel, spark) -> list[Tree]:
+    """The gate's trees, valued in log-odds (its margin counts half)."""
     weights = model.gate.treeWeights
     trees = _trees(model.gate, spark, "gate").groupby("treeID")
-    return [leaf for tree, nodes in trees for leaf in _leaves(nodes, lambda n, w=2 * weights[tree]: w * n["prediction"])]
+    return [_tree(nodes, lambda n, w=2 * weights[tree]: w * n["prediction"]) for tree, nodes in trees]
 
 
-def attribution_leaves(model: FusionModel, spark) -> list[Leaf]:
-    """All leaf boxes of the attribution forest, valued in shares of each kind of attack, which add up over the trees."""
+def attribution_trees(model: FusionModel, spark) -> list[Tree]:
+    """The attribution forest's trees, valued in shares of each kind of attack, which add up over the trees."""
     n = model.attribution.getNumTrees
 
     def shares(node: dict) -> np.ndarray:
@@ -164,31 +258,51 @@ def attribution_leaves(model: FusionModel, spark) -> list[Leaf]:
         counts[: len(node["impurityStats"])] = node["impurityStats"]
         return counts / counts.sum() / n
 
-    trees = _trees(model.attribution, spark, "attribution").groupby("treeID")
-    return [leaf for _, nodes in trees for leaf in _leaves(nodes, shares)]
+    return [_tree(nodes, shares) for _, nodes in _trees(model.attribution, spark, "attribution").groupby("treeID")]
+
+
+def gate_leaves(model: FusionModel, spark) -> list[Leaf]:
+    """All leaf boxes of the gate."""
+    return [leaf for tree in gate_trees(model, spark) for leaf in tree.leaves]
+
+
+def attribution_leaves(model: FusionModel, spark) -> list[Leaf]:
+    """All leaf boxes of the attribution forest."""
+    return [leaf for tree in attribution_trees(model, spark) for leaf in tree.leaves]
 
 
 def with_contributions(alerts: DataFrame, model: FusionModel) -> DataFrame:
     """Add `shap_values` (to the gate's log-odds) and `kind_values` (to the share of the predicted kind among attacks,
     null where none is predicted): array<struct<feature, value>> in column order."""
     spark = alerts.sparkSession
-    gate = spark.sparkContext.broadcast([tuple(leaf) for leaf in gate_leaves(model, spark)])
-    forest = spark.sparkContext.broadcast([tuple(leaf) for leaf in attribution_leaves(model, spark)])
+    plain = lambda trees: [tuple(t._replace(leaves=[tuple(leaf) for leaf in t.leaves])) for t in trees]
+    gate = spark.sparkContext.broadcast(plain(gate_trees(model, spark)))
+    forest = spark.sparkContext.broadcast(plain(attribution_trees(model, spark)))
     width = len(model.columns)
 
-    def rows(batch: pd.Series) -> np.ndarray:
-        return np.stack(batch.to_numpy()) if len(batch) else np.zeros((0, width))
+    def built(trees: list[tuple]) -> list[Tree]:
+        return [(tree := Tree(*t))._replace(leaves=[Leaf(*leaf) for leaf in tree.leaves]) for t in trees]
+
+    def rows(batches: list[pd.Series]) -> np.ndarray:
+        return np.concatenate([np.stack(b.to_numpy()) if len(b) else np.zeros((0, width)) for b in batches])
+
+    def by_batch(phi: np.ndarray, batches: list[pd.Series]) -> Iterator[pd.Series]:
+        for part in np.split(phi, np.cumsum([len(b) for b in batches])[:-1]):
+            yield pd.Series(list(part))
 
     @F.pandas_udf("array<double>")
     def explain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series(list(_contributions([Leaf(*leaf) for leaf in gate.value], rows(batch))))
+        trees = built(gate.value)
+        for held in _gathered(batches, EXPLAINED_ROWS):
+            yield from by_batch(_tree_contributions(trees, rows(held)), held)
 
     @F.pandas_udf("array<double>")
     def explain_kind(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for batch, predicted in batches:
-            kind = np.maximum(predicted.to_numpy().astype(int) - 1, 0)
-            yield pd.Series(list(_contributions([Leaf(*leaf) for leaf in forest.value], rows(batch), kind)))
+        trees = built(forest.value)
+        for held in _gathered(batches, EXPLAINED_ROWS):
+            x, predicted = zip(*held)
+            kind = np.maximum(np.concatenate(predicted).astype(int) - 1, 0)
+            yield from by_batch(_tree_contributions(trees, rows(x), kind), x)
 
     names = F.array(*[F.lit(c) for c in model.columns])
     named = lambda values: F.zip_with(names, values, lambda f, v: F.struct(f.alias("feature"), v.alias("value")))
