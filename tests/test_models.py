@@ -446,3 +446,20 @@ def test_trees_are_met_split_by_split(monkeypatch, classes):
 def test_batches_are_explained_together():
     batches = [([0] * n,) for n in (3, 4, 9, 1, 0)]
     assert [[len(b[0]) for b in held] for held in explain._gathered(iter(batches), 7)] == [[3, 4], [9], [1, 0]]
+
+
+def test_large_training_tables_are_scored_in_the_row(spark, monkeypatch):
+    """Above the bound no cells are joined for the training scores; both roads give the same scores."""
+    rng = random.Random(2)
+    rows = [(i, int(i % 9 == 0), ["login", rng.choice("ab")], *[rng.random() for _ in [*detect.FEATURES, *fusion.RULE_FLAGS]]) for i in range(60)]
+    train = spark.createDataFrame(rows, ["event_id", "label_int", "command_sequence", *detect.FEATURES, *fusion.RULE_FLAGS])
+    seen, cut = [], outliers.fitted_tails
+    monkeypatch.setattr(outliers, "fitted_tails", lambda *a: seen.append("joined") or cut(*a))
+    monkeypatch.setattr(fusion, "fit", lambda scored, p: by_event(scored, *fusion.SCORES))
+    settings = detect.Settings(outliers=outliers.Params(trees=5, sample=16))
+    joined = detect.fit(train, settings).fusion
+    assert seen == ["joined"]
+    monkeypatch.setattr(detect, "JOINED_ROWS", 59)
+    in_row = detect.fit(train, settings).fusion
+    assert seen == ["joined"] and len(in_row) == 60
+    assert [x for row in in_row for x in row] == pytest.approx([x for row in joined for x in row])
