@@ -463,3 +463,38 @@ def test_large_training_tables_are_scored_in_the_row(spark, monkeypatch):
     in_row = detect.fit(train, settings).fusion
     assert seen == ["joined"] and len(in_row) == 60
     assert [x for row in in_row for x in row] == pytest.approx([x for row in joined for x in row])
+
+
+def test_gate_by_histograms_is_mllibs(spark, monkeypatch, tmp_path):
+    """Above the bound the gate's trees come from sums over blocks: the same probabilities, saved and loaded too."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 5))
+    x[:, 3] = rng.integers(0, 4, 3000)
+    x[:, 4] = 1.0  # a column without thresholds
+    odds = x[:, 0] + x[:, 1] * x[:, 3] + rng.normal(size=3000)
+    label = np.where(odds > 1.5, rng.integers(1, 3, 3000), 0)
+    columns = [f"c{i}" for i in range(5)]
+    train = spark.createDataFrame([(int(y), *map(float, row)) for y, row in zip(label, x)], ["label_int", *columns]).repartition(3)
+    params = fusion.Params(trees=13, depth=3, rate=0.1, attribution_trees=2, attribution_depth=2)
+    monkeypatch.setattr(fusion.boosting, "BLOCK_ROWS", 500)
+    grown = []
+    monkeypatch.setattr(fusion.boosting, "trees", lambda *a, f=fusion.boosting.trees: grown.extend(f(*a)) or grown)
+    mllib = fusion.fit(train, columns, params)
+    assert not grown
+    monkeypatch.setattr(fusion, "HISTOGRAM_ROWS", 2999)
+    own = fusion.fit(train, columns, params)
+    assert len(grown) == own.gate.getNumTrees == own.gate.getMaxIter() == 13 and own.gate.treeWeights == mllib.gate.treeWeights
+    assert [sum(t.rows[t.column < 0]) for t in grown] == [3000] * 13
+    own.save(str(tmp_path / "own"))
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rng.normal(size=(500, 5)))], ["event_id", *columns])
+    risks = [by_event(fusion.predict(rows, m), "risk") for m in (mllib, own, fusion.load(str(tmp_path / "own")))]
+    assert risks[1] == risks[2] == pytest.approx(risks[0], abs=1e-9) and len(set(risks[0])) > 50
+    shares = [explain.base_value(explain.gate_leaves(m, spark)) for m in (mllib, own)]
+    assert shares[1] == pytest.approx(shares[0], abs=1e-9)
+
+
+def test_gate_refuses_rows_without_label(spark, monkeypatch):
+    monkeypatch.setattr(fusion, "HISTOGRAM_ROWS", 1)
+    train = spark.createDataFrame([(0, 1.0), (None, 2.0), (1, 3.0)], "label_int int, a double")
+    with pytest.raises(ValueError, match="no label"):
+        fusion.fit(train, ["a"], fusion.Params(trees=2))
